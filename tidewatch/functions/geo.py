@@ -13,7 +13,9 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     a = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(dlon), 2
     )
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # Rounding may push the root past one; `least` would also turn an unknown place into one.
+    root = F.sqrt(a)
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.when(root > 1.0, 1.0).otherwise(root))
 
 
 def geo_cell(lat: Column, lon: Column) -> Column:

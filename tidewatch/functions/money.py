@@ -14,9 +14,9 @@ def minor_units(amount: Column, units: Column) -> Column:
 
 def to_base(amount: Column, rate: Column) -> Column:
     """Base-currency value, half-even to four places, never below the smallest storable amount."""
-    return F.greatest(
-        F.bround(amount * rate, 4), F.lit("0.0001").cast("decimal(18,4)")
-    ).cast("decimal(18,4)")
+    value = F.bround(amount * rate, 4).cast("decimal(18,4)")
+    smallest = F.lit("0.0001").cast("decimal(18,4)")
+    return F.when(value < smallest, smallest).otherwise(value)  # a missing rate stays missing
 
 
 def expected_loss(probability: Column, amount: Column) -> Column:

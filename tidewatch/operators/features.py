@@ -71,6 +71,7 @@ def account_history(p: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     out = trailing(p, ["account"], "t", windows, extra, split)
     last_t = -F.col("_last.t")
     km = haversine_km(F.col("_last.lat"), F.col("_last.lon"), F.col("lat"), F.col("lon"))
+    speed = km / ((F.col("t") - last_t) / F.lit(3.6e9))
     observed = F.least(F.lit(micros("30d")), F.col("t") - F.coalesce("_first_t", "t"))
     hours = observed / F.lit(3.6e9) - F.lit(1.0)
     mean = F.when(hours > 0, (F.col("_n_30d") - F.col("tx_count_1h")) / hours).otherwise(0.0)
@@ -82,8 +83,7 @@ def account_history(p: DataFrame, hot: HotKeys | None = None) -> DataFrame:
         .withColumn("seconds_since_last_tx", (F.col("t") - last_t) / F.lit(1e6))
         .withColumn("distance_from_last_tx_km", km)
         .withColumn(
-            "implied_speed_kmh",
-            F.least(km / ((F.col("t") - last_t) / F.lit(3.6e9)), F.lit(MAX_SPEED_KMH)),
+            "implied_speed_kmh", F.when(speed > MAX_SPEED_KMH, MAX_SPEED_KMH).otherwise(speed)
         )
         .withColumn(
             "dormancy_reactivation_flag",
@@ -208,7 +208,7 @@ def counterparty_sweep(
             t, F.col("label_at"), _span("counterparty_confirmed_fraud_90d"),
             {"_fraud": F.lit(1).cast("long")},
         ),
-        F.col("is_fraud"),
+        F.col("is_fraud") & F.col("label_at").isNotNull(),
     )
     aggs, versions = {"_snd": "sum", "_fraud": "sum"}, []
     if profiles is not None:
@@ -439,7 +439,7 @@ def synthetic_identity(p: DataFrame) -> DataFrame:
     even = 7.0 / 30.0
 
     def unit(c: Column) -> Column:
-        return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), F.lit(0.0))
+        return F.when(c > 1.0, 1.0).when(c > 0.0, c).otherwise(0.0)
 
     tier = unit((F.lit(high) - F.col("kyc_tier")) / F.lit(float(high - low)))
     young = F.coalesce((F.col("account_age_days") < 30).cast("double"), F.lit(0.0))
