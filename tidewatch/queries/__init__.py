@@ -1,6 +1,6 @@
 """All registered queries. Importing a module registers its queries."""
 
-from tidewatch.queries import features  # noqa: F401
+from tidewatch.queries import evaluation, features  # noqa: F401
 from tidewatch.queries.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

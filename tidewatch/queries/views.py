@@ -102,6 +102,93 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
         """SELECT score, count(*) FILTER (WHERE is_fraud) AS pos,
   count(*) FILTER (WHERE NOT is_fraud) AS neg FROM payments GROUP BY score""",
     ),
+    "scores": (
+        ("payments",),
+        """SELECT tx_id, account, channel, institution, anomaly, fallback, revision, scored_at, score FROM (
+  SELECT tx_id, account, channel, 'I' || CAST(account % 4 AS VARCHAR) AS institution,
+    CAST((k * 11 + cents * 3) % 1000 AS DOUBLE) / 1000.0::DOUBLE AS anomaly, cents % 50 = 0 AS fallback,
+    1 AS revision, t AS scored_at, score FROM payments
+  UNION ALL
+  SELECT tx_id, account, channel, 'I' || CAST(account % 4 AS VARCHAR),
+    CAST((k * 11 + cents * 3) % 1000 AS DOUBLE) / 1000.0::DOUBLE, cents % 50 = 0,
+    2, t + 1000000, CAST(((k * 53 + cents * 7) % 1000) * 5
+      + CASE WHEN channel = 'CARD' THEN 5000 ELSE 0 END AS DOUBLE) / 10000.0::DOUBLE
+  FROM payments WHERE k % 5 = 0)""",
+    ),
+    "second_scores": (
+        ("payments",),
+        """SELECT *, CAST(((k * 53 + cents * 7) % 1000) * 5
+  + CASE WHEN channel = 'CARD' THEN 5000 ELSE 0 END AS DOUBLE) / 10000.0::DOUBLE AS score2 FROM payments""",
+    ),
+    "states": (
+        ("payments",),
+        """SELECT tx_id, account, channel, 1 AS seq, CASE WHEN score >= 0.85::DOUBLE THEN 'DECLINE'
+    WHEN score >= 0.60::DOUBLE THEN 'HOLD' ELSE 'APPROVE' END AS decision, t + 1000000 AS at, 'SYSTEM' AS decided_by
+  FROM payments
+  UNION ALL
+  SELECT tx_id, account, channel, 2, CASE WHEN k % 3 = 0 THEN 'APPROVE' ELSE 'DECLINE' END,
+    t + 1000000 + cents * 100000, 'ANALYST' FROM payments
+  WHERE score >= 0.60::DOUBLE AND score < 0.85::DOUBLE AND k % 3 <> 2
+  UNION ALL
+  SELECT tx_id, account, channel, 2, 'APPROVE', t + 86400000000, 'CUSTOMER_VERIFICATION' FROM payments
+  WHERE score >= 0.85::DOUBLE AND k % 4 = 0""",
+    ),
+    "label_events": (
+        ("payments",),
+        """SELECT tx_id, account, t, tx_id * 2 AS label_id,
+    CASE WHEN is_fraud THEN 'FRAUD' ELSE 'LEGITIMATE' END AS label, label_at FROM payments
+  UNION ALL
+  SELECT tx_id, account, t, tx_id * 2 + 1, CASE WHEN is_fraud THEN 'LEGITIMATE' ELSE 'FRAUD' END, label_at
+  FROM payments WHERE k % 6 = 0""",
+    ),
+    "alerts": (
+        ("payments",),
+        """SELECT * FROM (SELECT tx_id AS alert_id, tx_id, account, channel, amount, cents, k, t,
+    score AS fraud_probability, CAST((k * 11 + cents * 3) % 1000 AS DOUBLE) / 1000.0::DOUBLE AS anomaly,
+    'I' || CAST(account % 4 AS VARCHAR) AS institution,
+    CASE WHEN score >= 0.85::DOUBLE THEN 'HIGH' WHEN score >= 0.60::DOUBLE THEN 'MEDIUM'
+      WHEN CAST((k * 11 + cents * 3) % 1000 AS DOUBLE) / 1000.0::DOUBLE >= 0.95::DOUBLE THEN 'ANOMALY' END AS tier,
+    CASE k % 4 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'IN_REVIEW' ELSE 'DECIDED' END AS status,
+    k % 7 AS analyst_id,
+    CASE WHEN k % 9 = 0 THEN CASE WHEN cents % 2 = 0 THEN 'SENIOR_ANALYST' ELSE 'RISK_OFFICER' END END AS target_role,
+    CASE WHEN k % 9 = 0 THEN tx_id END AS escalated_from, t AS created_at FROM payments)
+  WHERE tier IS NOT NULL""",
+    ),
+    "alert_decisions": (
+        ("alerts",),
+        """SELECT alert_id AS decision_id, alert_id, tx_id, analyst_id, tier, cents,
+    CASE WHEN escalated_from IS NOT NULL THEN 'ESCALATE' WHEN k % 3 = 0 THEN 'CONFIRM_FRAUD'
+      ELSE 'MARK_LEGITIMATE' END AS decision, cents % 1800 AS duration_s,
+    t + (cents % 1800) * 1000000 AS created_at, k FROM alerts WHERE status = 'DECIDED'""",
+    ),
+    "commits": (
+        ("alert_decisions",),
+        "SELECT decision_id, created_at + 60000000 AS committed_at FROM alert_decisions WHERE k % 5 <> 2",
+    ),
+    "undos": (
+        ("alert_decisions",),
+        "SELECT decision_id, created_at + 30000000 AS undone_at FROM alert_decisions WHERE k % 10 = 2",
+    ),
+    "hold_policies": (
+        (),
+        f"""SELECT CAST(r_regionkey AS BIGINT) AS version, {EPOCH} + (r_regionkey + 1) * 432000000000 AS effective_at,
+    CASE WHEN r_regionkey % 2 = 0 THEN 'DECLINE_AND_VERIFY' ELSE 'RELEASE_WITH_TIMEOUT_LABEL' END AS policy
+  FROM region""",
+    ),
+    "contributions": (
+        ("payments",),
+        """SELECT tx_id, channel, score, k % 10 <> 0 AS explained, cents % 50 = 0 AS fallback, i,
+    ['amount_zscore_90d', 'counterparty_confirmed_fraud_90d', 'device_is_new_for_account', 'is_local_night',
+     'tx_count_1h', 'velocity_ratio_1h_vs_30d'][i + 1] AS feature,
+    CAST((k * (7 + i) + cents * (3 + 2 * i)) % 2001 - 1000 AS DOUBLE) / 1000.0::DOUBLE AS shap
+  FROM payments, range(6) r(i)""",
+    ),
+    "audit_rows": (
+        ("payments",),
+        """SELECT tx_id % 8 AS writer, tx_id // 8 + 1 AS seq, t AS event_at, account % 12 AS user_id,
+    channel AS event_type, tx_id AS entity_id,
+    tx_id || '|' || account || '|' || cents || '|' || channel AS content, cents FROM payments""",
+    ),
 }
 
 
