@@ -112,3 +112,42 @@ def value_index(
     return placed.join(below, value).withColumn(
         "row_index", F.col("__below") + F.coalesce(F.col("__tie"), F.lit(0))
     ).drop("__below", "__tie")
+
+
+def quantiles(
+    df: DataFrame, value: str, probabilities: dict[str, float], group: list[str] | None = None,
+    nearest_rank: bool = False,
+) -> DataFrame:
+    """Exact quantiles per group as columns, linearly interpolated or by nearest rank.
+
+    The order statistics are found in the prefix sums of the value histogram, so no group's values
+    ever meet in one task.
+    """
+    group = group or []
+    keys = group or ["__g"]
+    rows = df if group else df.withColumn("__g", F.lit(0))
+    hist = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    low = prefix_sums(hist, value, {"__below": "__c"}, keys)
+    sizes = hist.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    placed = low.join(sizes, keys)
+
+    def holds(position: Column) -> Column:
+        return (F.col("__below") <= position) & (position < F.col("__below") + F.col("__c"))
+
+    aggs, finals = [], []
+    for name, q in probabilities.items():
+        if nearest_rank:
+            rank = F.ceil(F.lit(q) * F.col("__n"))
+            at = F.when(rank < 1, 0).otherwise(rank - 1)
+            aggs.append(F.max(F.when(holds(at), F.col(value))).alias(name))
+            finals.append(F.col(name))
+            continue
+        place = F.lit(q) * (F.col("__n") - 1)
+        aggs += [
+            F.max(F.when(holds(F.floor(place)), F.col(value))).alias(f"__lo_{name}"),
+            F.max(F.when(holds(F.ceil(place)), F.col(value))).alias(f"__hi_{name}"),
+            F.max(place - F.floor(place)).alias(f"__f_{name}"),
+        ]
+        lo, hi = F.col(f"__lo_{name}").cast("double"), F.col(f"__hi_{name}").cast("double")
+        finals.append((lo + (hi - lo) * F.col(f"__f_{name}")).alias(name))
+    return placed.groupBy(*keys).agg(*aggs).select(*group, *finals)
