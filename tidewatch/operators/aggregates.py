@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import stats
-from tidewatch.operators.hotkeys import broadcast_if_small
+from tidewatch.operators.hotkeys import HOUR, Split, broadcast_if_small
 from tidewatch.operators.order import quantiles
+from tidewatch.operators.running import Agg, running
 
 SECOND = 1_000_000
 
@@ -61,15 +62,6 @@ def account_summary(history: DataFrame, before: int) -> DataFrame:
     )
 
 
-def account_sets(history: DataFrame, before: int) -> DataFrame:
-    """The distinct values themselves, sorted, for one account's restore."""
-    rows = history.filter(F.col("t") < before)
-    return rows.groupBy("account").agg(
-        F.array_sort(F.collect_set("counterparty")).alias("counterparties"),
-        F.array_sort(F.collect_set("device")).alias("devices"),
-    )
-
-
 def fraud_intervals(rows: DataFrame, period: Column, target: float) -> DataFrame:
     """Fraud rate per period with its Wilson interval, and whether that covers the target."""
     counts = rows.groupBy(period.alias("period")).agg(
@@ -247,11 +239,18 @@ def history_slice(history: DataFrame, since: int, until: int) -> DataFrame:
     return part.repartitionByRange("account", "t", "tx_id").sortWithinPartitions("account", "t", "tx_id")
 
 
-def row_position(rows: DataFrame, file: str, order: list[str]) -> DataFrame:
-    """Sub-second part, day of month, and relative position of the row in its file or month."""
-    w = Window.partitionBy(file)
-    return rows.select(
-        "*", (F.col("t") % SECOND).alias("sub_second"),
-        F.dayofmonth(F.timestamp_micros("t")).alias("day"),
-        ((F.row_number().over(w.orderBy(*order)) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1))).alias("position"),
+def row_position(rows: DataFrame, file: str, at: str, tie: list[str], grain: int = HOUR) -> DataFrame:
+    """Sub-second part, day of month, and relative position of each row in its file or month.
+
+    Files are few and long: numbering is cut in time, never one file in one task.
+    """
+    numbered = running(
+        rows.withColumn("__c", F.lit(0)), [file, "__c"], at,
+        {"__i": Agg("sum", F.lit(1).cast("long"))}, Split("__c", ("0",), grain), tie=[F.col(c) for c in tie],
+    ).drop("__c")
+    sizes = rows.groupBy(file).agg(F.count("*").alias("__n"))
+    return numbered.join(broadcast_if_small(sizes), file).select(
+        *rows.columns, (F.col(at) % SECOND).alias("sub_second"),
+        F.dayofmonth(F.timestamp_micros(at)).alias("day"),
+        (F.coalesce(F.col("__i"), F.lit(0)) / F.greatest(F.col("__n") - 1, F.lit(1))).alias("position"),
     )

@@ -231,6 +231,11 @@ width AS (SELECT least(14, CAST(floor(score * 15) AS BIGINT)) AS bin, count(*) A
   avg(score) AS predicted, avg(CAST(is_fraud AS INTEGER)) AS observed FROM payments GROUP BY 1)"""
 
 
+def _equal_mass(spark, sf) -> DataFrame:
+    p = tables.payments(spark, sf)
+    return ev.equal_mass_bins(p, ["tx_id"], split=hot_keys(spark, sf, p).split("score"))
+
+
 @query(
     "e09_equal_mass_bins",
     sql(
@@ -240,7 +245,7 @@ width AS (SELECT least(14, CAST(floor(score * 15) AS BIGINT)) AS bin, count(*) A
     ),
 )
 def equal_mass(spark, sf):
-    return rounded(ev.equal_mass_bins(tables.payments(spark, sf), ["tx_id"]), "predicted", "observed")
+    return rounded(_equal_mass(spark, sf), "predicted", "observed")
 
 
 @query(
@@ -256,7 +261,7 @@ def equal_mass(spark, sf):
 def calibration(spark, sf):
     p = tables.payments(spark, sf)
     k = F.lit(0).alias("k")
-    mass = ev.calibration_error(ev.equal_mass_bins(p, ["tx_id"])).select(F.col("ece").alias("ece_equal_mass"), k)
+    mass = ev.calibration_error(_equal_mass(spark, sf)).select(F.col("ece").alias("ece_equal_mass"), k)
     width = ev.calibration_error(ev.equal_width_bins(p)).select(F.col("ece").alias("ece_equal_width"), k)
     out = mass.join(width, "k").join(ev.brier(p).select("brier", k), "k").drop("k")
     return rounded(out, "ece_equal_mass", "ece_equal_width", "brier")
@@ -290,7 +295,7 @@ def gate_metrics(spark, sf) -> DataFrame:
     block = ev.operating_point(hist, ev.BLOCK)
     per_channel = ev.auc(ev.histogram(p, group=["channel"]), ["channel"])
     flagged = operations.contributions(p).filter(F.col("score") >= ev.FLAG)
-    mass = ev.calibration_error(ev.equal_mass_bins(p, ["tx_id"]))
+    mass = ev.calibration_error(_equal_mass(spark, sf))
 
     def metric(df, name, column):
         return df.select(F.lit(name).alias("metric"), F.col(column).cast("double").alias("value"))

@@ -13,7 +13,7 @@ from tidewatch.plans.registry import FEATURES, micros
 from tidewatch.queries.registry import query
 from tidewatch.queries.views import EPOCH, haversine, sql
 
-KEYS = ["account", "counterparty", "device", "agent", "cell"]
+KEYS = ["account", "counterparty", "device", "agent", "cell", "score"]
 _HOT: dict[str, HotKeys] = {}
 
 

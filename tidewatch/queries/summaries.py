@@ -435,7 +435,7 @@ def identifier_bytes(spark, sf):
 )
 def row_position(spark, sf):
     p = _p(spark, sf).withColumn("file", F.dayofmonth(F.timestamp_micros("t")))
-    return rounded(ag.row_position(p, "file", ["t", "tx_id"]).select("tx_id", "sub_second", "day", "position"), "position")
+    return rounded(ag.row_position(p, "file", "t", ["tx_id"]).select("tx_id", "sub_second", "day", "position"), "position")
 
 
 @query(
