@@ -235,7 +235,7 @@ def model_matrix(spark, sf) -> DataFrame:
 
 
 FEATURES = [*_NAMES, "channel_rate"]
-SMALL = (models.Boost(8, 3, 0.2, 0.8, 7), models.Boost(8, 4, 0.1, 0.7, 11))
+SMALL = (models.Boost(5, 3, 0.2, 0.8, 7), models.Boost(5, 4, 0.1, 0.7, 11))
 
 
 @query(
@@ -268,7 +268,7 @@ def baselines(spark, sf):
     test = m.filter("segment = 'test'")
     logistic = models.fit_logistic(m, FEATURES)
     a, b = models.fit_platt(logistic.score(m.filter("calibration"), "raw_score"))
-    forest = models.fit_random_forest(m, FEATURES, trees=20)
+    forest = models.fit_random_forest(m, FEATURES, trees=10)
     from tidewatch.functions.stats import platt
 
     parts = [
@@ -278,7 +278,7 @@ def baselines(spark, sf):
         ),
         models.evaluate_scores(forest.score(test), {"model": "random forest"}),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return models.study(spark, parts, ["model"])
 
 
 @query("m06_isolation_forest")
@@ -309,8 +309,7 @@ def ablation(spark, sf):
     m = model_matrix(spark, sf).persist()
     groups = {
         "velocity": ["velocity_ratio_1h_vs_30d", "tx_count_1h", "tx_count_24h", "tx_count_7d"],
-        "amount": ["amount_sum_24h", "amount_log1p"],
-        "channel": ["channel_rate"],
+        "amount and channel": ["amount_sum_24h", "amount_log1p", "channel_rate"],
     }
     return models.ablations(m, groups)
 
@@ -318,17 +317,17 @@ def ablation(spark, sf):
 @query("e18_leave_one_country_out")
 def leave_one_out(spark, sf):
     m = model_matrix(spark, sf).persist()
-    largest = [r["country"] for r in m.groupBy("country").count().orderBy(F.desc("count"), "country").limit(3).collect()]
+    largest = [r["country"] for r in m.groupBy("country").count().orderBy(F.desc("count"), "country").limit(2).collect()]
     return models.leave_one_out(m, "country", largest, FEATURES)
 
 
 @query("e19_m09_seed_variance_and_size_grid")
 def seeds(spark, sf):
     m = model_matrix(spark, sf).persist()
-    by_seed = models.seed_variance(m, FEATURES, [1, 2], models.Boost(5, 3)).select(
+    by_seed = models.seed_variance(m, FEATURES, [1, 2], models.Boost(3, 2)).select(
         F.concat(F.lit("seed "), "seed").alias("run"), "auc", "recall"
     )
-    by_size = models.size_grid(m, FEATURES, [models.Boost(3, 2), models.Boost(6, 3)]).select(
+    by_size = models.size_grid(m, FEATURES, [models.Boost(2, 2), models.Boost(4, 3)]).select(
         F.concat_ws(" x ", "iterations", "depth").alias("run"), "auc", "recall"
     )
     return by_seed.unionByName(by_size)
