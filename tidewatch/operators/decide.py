@@ -59,17 +59,19 @@ def fallback_tier(amount: Column, review: Column | float = FALLBACK_REVIEW_AMOUN
 # ---- freezes ---------------------------------------------------------------------------------------
 
 
-def freezes(decisions: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+def freezes(
+    decisions: DataFrame, hot: HotKeys | None = None, window: int = FREEZE_WINDOW
+) -> DataFrame:
     """Whether an account is frozen by each HIGH decision, and which one froze it.
 
-    A decision freezes when at least three HIGH ones, itself included, lie in (t - 60 min, t]. The
+    A decision freezes when at least three HIGH ones, itself included, lie in the window ending at it. The
     account then stays frozen, so the freeze fires at its first such decision.
     """
     split = hot.split("account") if hot else None
     high = decisions.filter("tier = 'HIGH'")
     one = F.lit(1).cast("long")
     # Simultaneous decisions count too: those strictly before, plus those at the very instant.
-    counted = trailing(high, ["account"], "t", {"__n": Trailing(one, FREEZE_WINDOW)}, None, split)
+    counted = trailing(high, ["account"], "t", {"__n": Trailing(one, window)}, None, split)
     now = F.count("*").over(Window.partitionBy("account", "t"))
     marked = counted.withColumn("high_in_window", F.col("__n") + now).withColumn(
         "freezes", F.col("high_in_window") >= FREEZE_COUNT

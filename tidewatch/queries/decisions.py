@@ -179,17 +179,11 @@ def circuit_breaker(spark, sf):
     )
 
 
-_FREEZE = """highs AS (SELECT * FROM (SELECT tx_id, account, t FROM payments WHERE score >= 0.6::DOUBLE)),
-hw AS (SELECT tx_id, account, t, count(*) OVER (PARTITION BY account ORDER BY t
-    RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS high_in_window FROM highs),
-fz AS (SELECT account, min(t) AS ft FROM hw WHERE high_in_window >= 3 GROUP BY account)"""
-
-
 def _freezes(spark, sf, hot) -> DataFrame:
     """Every flagged payment counts here and the window is a day, so that the data has freezes."""
     p = tables.payments(spark, sf)
     rows = p.select("tx_id", "account", "t", F.when(F.col("score") >= 0.6, "HIGH").alias("tier"))
-    return decide.freezes(rows, hot)
+    return decide.freezes(rows, hot, DAY)
 
 
 @query(
@@ -201,7 +195,7 @@ LEFT JOIN (SELECT account, arg_min(tx_id, (t, tx_id)) AS first_tx FROM hw1 WHERE
   ON f.account = h.account""",
         "payments",
         then="""hw1 AS (SELECT tx_id, account, t, count(*) OVER (PARTITION BY account ORDER BY t
-  RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS high_in_window FROM payments WHERE score >= 0.6::DOUBLE)""",
+  RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS high_in_window FROM payments WHERE score >= 0.6::DOUBLE)""",
     ),
 )
 def freeze(spark, sf):
@@ -297,7 +291,7 @@ _DECIDED = f"""based AS (SELECT p.*, cents % 50 = 0 AS fallback,
   FROM payments p
   JOIN changed c ON c.institution = 'I' || CAST(p.account % 4 AS VARCHAR) AND c.mcc = p.mcc AND c.minute = p.t // 60000000
   LEFT JOIN (SELECT account, min(t) AS ft FROM (SELECT account, t, count(*) OVER (PARTITION BY account ORDER BY t
-    RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS c FROM payments WHERE score >= 0.6::DOUBLE)
+    RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS c FROM payments WHERE score >= 0.6::DOUBLE)
     WHERE c >= 3 GROUP BY account) f ON f.account = p.account),
 lifted AS (SELECT *, CASE WHEN breaker_open AND greatest(rank, ruled) = 0 THEN 1 ELSE greatest(rank, ruled) END AS final,
   breaker_open AND greatest(rank, ruled) = 0 AS by_breaker FROM based),

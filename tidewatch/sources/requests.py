@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions import keys
 from tidewatch.plans.registry import CHANNELS
+from tidewatch.session import cut
 
 # Fields of a request in schema order, those required, and accepted currencies.
 FIELDS = (
@@ -162,19 +163,20 @@ def admissions(requests: DataFrame, seen: DataFrame | None = None) -> DataFrame:
 
 def submit_batch(items: DataFrame, now_us: Column, currencies: tuple[str, ...] = CURRENCIES) -> DataFrame:
     """Per-item outcome of bulk submissions (batch_id, item, body); a batch holds 1 to 1000 items."""
-    sizes = items.groupBy("batch_id").agg(F.count("*").alias("__n"))
-    checked = validate(items, now_us, currencies).join(sizes, "batch_id").withColumn(
-        "too_large", F.col("__n") > MAX_BATCH
+    checked = validate(items, now_us, currencies).select(
+        "batch_id", "item", F.transform("errors", lambda e: F.concat_ws(":", e["field"], e["code"])).alias("errors"),
+        _field("transaction_id").alias("tx_id"), fingerprint().alias("fingerprint"),
     )
-    good = checked.filter((F.size("errors") == 0) & ~F.col("too_large"))
+    # The validation expression is large; it is evaluated once and its result read twice.
+    checked = cut(checked)
+    sizes = checked.groupBy("batch_id").agg((F.count("*") > MAX_BATCH).alias("too_large"))
+    sized = checked.join(sizes, "batch_id")
     admitted = admissions(
-        good.select(
-            "batch_id", "item", _field("transaction_id").alias("tx_id"), fingerprint().alias("fingerprint"),
-            F.struct("batch_id", "item").alias("arrival"),
+        sized.filter((F.size("errors") == 0) & ~F.col("too_large")).select(
+            "batch_id", "item", "tx_id", "fingerprint", F.struct("batch_id", "item").alias("arrival")
         )
     ).select("batch_id", "item", "outcome")
-    return checked.join(admitted, ["batch_id", "item"], "left").select(
-        "batch_id", "item",
-        F.when(F.col("too_large"), "batch_too_large").otherwise(F.coalesce("outcome", F.lit("rejected"))).alias("outcome"),
-        F.transform("errors", lambda e: F.concat_ws(":", e["field"], e["code"])).alias("errors"),
+    outcome = F.when(F.col("too_large"), "batch_too_large").otherwise(F.coalesce("outcome", F.lit("rejected")))
+    return sized.join(admitted, ["batch_id", "item"], "left").select(
+        "batch_id", "item", outcome.alias("outcome"), "errors"
     )

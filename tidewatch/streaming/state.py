@@ -2,7 +2,8 @@
 
 A key's rows of one micro-batch are sorted by (t, id) first, and rows of one instant are answered
 before any of them is stored, so no row sees itself or a simultaneous one. State is trimmed to the
-longest window when it is read and expires by itself when a key goes quiet.
+longest window when it is read. With a time to live, which needs processing time and so a stream
+that keeps running, the state of a quiet key expires by itself.
 """
 
 from __future__ import annotations
@@ -55,8 +56,11 @@ class AccountVelocity(StatefulProcessor):
     never guessed from what the window still holds.
     """
 
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "t long", ttlDurationMs=TTL_MS)
+        self.times = handle.getListState("times", "t long", ttlDurationMs=self.ttl_ms)
         self.facts = handle.getValueState("facts", "first_seen long, last_seen long")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
@@ -95,11 +99,11 @@ FREEZE = T.StructType(
 class AccountFreeze(StatefulProcessor):
     """Fires once at the third HIGH decision within the window, until the state is cleared."""
 
-    def __init__(self, count: int = 3, span: int = HOUR):
-        self.count, self.span = count, span
+    def __init__(self, count: int = 3, span: int = HOUR, ttl_ms: int | None = None):
+        self.count, self.span, self.ttl_ms = count, span, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.highs = handle.getListState("highs", "t long", ttlDurationMs=TTL_MS)
+        self.highs = handle.getListState("highs", "t long", ttlDurationMs=self.ttl_ms)
         self.frozen = handle.getValueState("frozen", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -229,11 +233,11 @@ LIMITED = T.StructType(
 class TokenBucket(StatefulProcessor):
     """Which calls of an entity exceed its budget: tokens refill with time, a call takes one or none."""
 
-    def __init__(self, rate_per_s: float, burst: float):
-        self.rate, self.burst = rate_per_s, burst
+    def __init__(self, rate_per_s: float, burst: float, ttl_ms: int | None = None):
+        self.rate, self.burst, self.ttl_ms = rate_per_s, burst, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "tokens double, at long", ttlDurationMs=TTL_MS)
+        self.bucket = handle.getValueState("bucket", "tokens double, at long", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _rows(rows, ["t", "tx_id"])
@@ -256,9 +260,13 @@ class TokenBucket(StatefulProcessor):
 
 def keyed(
     stream: DataFrame, key: str, processor: StatefulProcessor, schema: T.StructType, mode: str = "Append",
-    time: str = "ProcessingTime", initial: DataFrame | None = None,
+    time: str = "None", initial: DataFrame | None = None,
 ) -> DataFrame:
-    """One keyed stage of a stream."""
+    """One keyed stage of a stream.
+
+    Processing time never runs out of work, so a run over what is available uses no time mode and
+    a processor without a time to live.
+    """
     enable(stream.sparkSession)
     return stream.groupBy(key).transformWithStateInPandas(
         processor, schema, mode, time, None if initial is None else initial.groupBy(key)
