@@ -31,7 +31,8 @@ def test_release_is_reconciled_and_verified(spark, tmp_path):
     df = spark.range(50).withColumn("x", F.col("id") * 2)
     row = release.export_release({"t": df}, out).first()
     assert (row.source_rows, row.csv_rows, row.reconciled) == (50, 50, True)
-    listed = release.checksums(spark, out).persist()
+    release.checksums(spark, out).write.parquet(str(tmp_path / "list"))
+    listed = spark.read.parquet(str(tmp_path / "list"))
     assert listed.count() > 2 and release.verify(spark, out, listed).count() == 0
     (tmp_path / "r" / "csv" / "t" / "extra.csv").write_text("more")
     assert [r.state for r in release.verify(spark, out, listed).collect()] == ["added"]

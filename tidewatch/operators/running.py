@@ -132,8 +132,8 @@ def trailing(
     before = {f"__p_{n}": Agg("sum", w.expr) for n, w in windows.items()}
     gone = {f"__e_{n}": Agg("sum", w.expr, w.span) for n, w in windows.items()}
     cols = df.columns
-    if split is None:
-        out = running(df, keys, at, {**before, **gone, **extra}, None, nullable_key)
+    if split is None or not windows:
+        out = running(df, keys, at, {**before, **gone, **extra}, split, nullable_key)
         return out.select(
             *cols,
             *[_difference(n, F.col(f"__e_{n}")) for n in windows],

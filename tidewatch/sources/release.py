@@ -52,7 +52,10 @@ def checksums(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify(spark: SparkSession, folder: str, recorded: DataFrame) -> DataFrame:
-    """Files that are missing, added or changed since the list was made."""
+    """Files that are missing, added or changed since the list was made.
+
+    ``recorded`` is a stored list, not a cached or lazy one, which would see the files of today.
+    """
     now = checksums(spark, folder).select("file", F.col("sha256").alias("now"))
     was = recorded.select("file", F.col("sha256").alias("was"))
     state = (
