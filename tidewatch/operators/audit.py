@@ -12,6 +12,13 @@ from tidewatch.operators.hotkeys import Split
 from tidewatch.operators.running import Agg, running
 
 GENESIS = "0" * 64
+
+# What a chain check can report.
+GAP = "missing row: sequence gap"
+WRONG_LINK = "prev_hash does not match the previous row"
+WRONG_CONTENT = "row content does not match row_hash"
+HEAD_AHEAD = "missing row: chain head is ahead of stored rows"
+
 #: Leaves folded per task; a power of two, so every full block is a complete subtree.
 BLOCK = 1024
 
@@ -40,9 +47,9 @@ def verify_chains(
     last_seq = F.coalesce(F.col("__before.seq"), F.lit(0))
     last_hash = F.coalesce(F.col("__before.row_hash"), F.lit(GENESIS))
     problem = (
-        F.when(F.col("seq") != last_seq + 1, "missing row: sequence gap")
-        .when(~F.col("prev_hash").eqNullSafe(last_hash), "prev_hash does not match the previous row")
-        .when(F.col("row_hash") != F.col("__told"), "row content does not match row_hash")
+        F.when(F.col("seq") != last_seq + 1, GAP)
+        .when(~F.col("prev_hash").eqNullSafe(last_hash), WRONG_LINK)
+        .when(F.col("row_hash") != F.col("__told"), WRONG_CONTENT)
     )
     at = F.when(F.col("seq") != last_seq + 1, last_seq + 1).otherwise(F.col("seq"))
     judged = before.select("writer", "seq", problem.alias("problem"), at.alias("at"))
@@ -65,7 +72,7 @@ def verify_chains(
         "writer",
         F.coalesce(checked, F.col("good"), F.lit(0)).alias("checked"),
         F.when(ahead, F.coalesce(F.col("last"), F.lit(0)) + 1).otherwise(F.col("bad.at")).alias("first_bad_seq"),
-        F.when(ahead, "missing row: chain head is ahead of stored rows").otherwise(F.col("bad.problem")).alias("problem"),
+        F.when(ahead, HEAD_AHEAD).otherwise(F.col("bad.problem")).alias("problem"),
     )
 
 

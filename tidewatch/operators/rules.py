@@ -65,61 +65,61 @@ class _Check:
     def walk(self, node, path: str, depth: int) -> None:
         self.nodes += 1
         if depth > MAX_DEPTH:
-            return self.note(path, "nested too deeply")
+            return self.note(path, "too many levels")
         if not isinstance(node, dict):
-            return self.note(path, "a rule expression is an object")
+            return self.note(path, "expected an object")
         logical = [k for k in ("all", "any", "not") if k in node]
         if not logical:
             return self.comparison(node, path)
         if len(node) != 1:
-            return self.note(path, "a logical node has exactly one property")
+            return self.note(path, "all, any and not stand alone in their object")
         name = logical[0]
         if name == "not":
             return self.walk(node["not"], f"{path}.not", depth + 1)
         if not isinstance(node[name], list) or not node[name]:
-            return self.note(f"{path}.{name}", "needs a list with at least one condition")
+            return self.note(f"{path}.{name}", "expected a list of conditions, at least one")
         for i, child in enumerate(node[name]):
             self.walk(child, f"{path}.{name}[{i}]", depth + 1)
 
     def comparison(self, node: dict, path: str) -> None:
         for name in sorted(set(node) - {"field", "op", "value"}):
-            self.note(f"{path}.{name}", "not a rule property")
+            self.note(f"{path}.{name}", "unexpected member")
         name, op, value = node.get("field"), node.get("op"), node.get("value")
         if name not in self.numeric:
-            self.note(f"{path}.field", "not a known field")
+            self.note(f"{path}.field", "no such column")
         if op not in _OPERATORS:
-            self.note(f"{path}.op", "unknown operator")
+            self.note(f"{path}.op", "no such operator")
         if name in self.numeric and op in _OPERATORS:
             self.operand(self.numeric[name], op, value, f"{path}.value")
 
     def operand(self, numeric: bool, op: str, value, path: str) -> None:
         if op in _ORDERING and not numeric:
-            return self.note(path, f"{op} needs a numeric field")
+            return self.note(path, f"{op} compares numbers only")
         if op in _NULL_TESTS:
             if value is not None:
-                self.note(path, f"{op} takes no value")
+                self.note(path, f"{op} stands without a value")
         elif op in _LISTED:
             if not isinstance(value, list) or not 1 <= len(value) <= MAX_LIST:
-                return self.note(path, f"needs a list of 1 to {MAX_LIST} items")
+                return self.note(path, f"expected a list with 1 to {MAX_LIST} entries")
             for i, item in enumerate(value):
                 self.scalar(numeric, item, f"{path}[{i}]")
         elif op == "between":
             if not isinstance(value, list) or len(value) != 2:
-                return self.note(path, "between needs exactly [low, high]")
+                return self.note(path, "expected two numbers")
             before = len(self.problems)
             for i, item in enumerate(value):
                 self.scalar(True, item, f"{path}[{i}]")
             if len(self.problems) == before and value[0] > value[1]:
-                self.note(path, "low must not exceed high")
+                self.note(path, "bounds are the wrong way round")
         else:
             self.scalar(numeric, value, path)
 
     def scalar(self, numeric: bool, value, path: str) -> None:
         is_number = isinstance(value, (int, float)) and not isinstance(value, bool)
         if numeric and not is_number:
-            self.note(path, "needs a number")
+            self.note(path, "expected a number")
         if not numeric and not isinstance(value, str):
-            self.note(path, "needs a string")
+            self.note(path, "expected text")
 
 
 def problems(rule: Rule, schema: T.StructType) -> list[tuple[str, str]]:
@@ -130,7 +130,7 @@ def problems(rule: Rule, schema: T.StructType) -> list[tuple[str, str]]:
     check = _Check(numeric)
     check.walk(rule.expression, "expression", 1)
     if check.nodes > MAX_NODES:
-        check.note("expression", f"at most {MAX_NODES} nodes")
+        check.note("expression", f"more than {MAX_NODES} conditions")
     return check.problems
 
 

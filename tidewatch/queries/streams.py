@@ -19,7 +19,7 @@ from tidewatch.queries.registry import query
 from tidewatch.queries.views import EPOCH, sql
 from tidewatch.session import checkpoint_dir
 from tidewatch.sources import history, release, requests, topics
-from tidewatch.streaming import pipelines, state
+from tidewatch.streaming import flows, state
 
 DAY, HOUR, SECOND = tables.DAY, tables.HOUR, tables.SECOND
 
@@ -37,7 +37,7 @@ _SPLIT = EPOCH + 15 * DAY
 
 
 def _payments(p: DataFrame) -> DataFrame:
-    return p.select(*[f.name for f in pipelines.PAYMENT.fields])
+    return p.select(*[f.name for f in flows.PAYMENT.fields])
 
 
 def _in_two_runs(spark, rows: DataFrame, at: str, cut_at: int, start) -> None:
@@ -56,10 +56,10 @@ def _stateful(spark, rows: DataFrame, at: str, cut_at: int, make, schema: T.Stru
     def run(part: DataFrame) -> None:
         part.write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-        pipelines.run_available(make(stream), pipelines.append_to(f"{base}/out"), f"{base}/ckpt").awaitTermination()
+        flows.run_available(make(stream), flows.append_to(f"{base}/out"), f"{base}/ckpt").awaitTermination()
 
     _in_two_runs(spark, rows, at, cut_at, run)
-    return pipelines.stored(spark, f"{base}/out", schema)
+    return flows.stored(spark, f"{base}/out", schema)
 
 
 # ---- scans ------------------------------------------------------------------------------------------------
@@ -217,8 +217,8 @@ def stream_routing(spark, sf):
     base = _scratch(spark)
     _records(_p(spark, sf)).select("value").repartition(4).write.text(f"{base}/in")
     stream = topics.read_files(spark, f"{base}/in", 2)
-    pipelines.run_available(
-        stream, pipelines.route("payment.decided", 1, PAYLOAD, f"{base}/split"), f"{base}/ckpt"
+    flows.run_available(
+        stream, flows.route("payment.decided", 1, PAYLOAD, f"{base}/split"), f"{base}/ckpt"
     ).awaitTermination()
     k = F.lit(0).alias("k")
     events = spark.read.parquet(f"{base}/split/events").agg(F.count("*").alias("events")).select("*", k)
@@ -426,11 +426,11 @@ def stream_tumbling(spark, sf):
     """Windows the watermark has passed, each emitted once."""
     base = _scratch(spark)
     _payments(_p(spark, sf)).write.parquet(f"{base}/in")
-    stream = pipelines.payment_stream(spark, f"{base}/in", 1_000)
+    stream = flows.payment_stream(spark, f"{base}/in", 1_000)
     schema = T.StructType.fromDDL("mcc string, bucket long, n long, total decimal(28,4)")
-    totals = pipelines.tumbling(stream, ["mcc"], "15 minutes")
-    pipelines.run_available(totals, pipelines.append_to(f"{base}/out"), f"{base}/ckpt").awaitTermination()
-    out = pipelines.stored(spark, f"{base}/out", schema)
+    totals = flows.tumbling(stream, ["mcc"], "15 minutes")
+    flows.run_available(totals, flows.append_to(f"{base}/out"), f"{base}/ckpt").awaitTermination()
+    out = flows.stored(spark, f"{base}/out", schema)
     # Windows the stream may or may not have closed at its end are judged by the same rule as the twin.
     last = _p(spark, sf).agg((F.max("t") - 600 * SECOND).alias("w")).withColumn("k", F.lit(0))
     kept = out.withColumn("k", F.lit(0)).join(F.broadcast(last), "k").filter(F.col("bucket") + 15 * 60 * SECOND <= F.col("w"))
@@ -512,7 +512,7 @@ def parity(spark, sf):
     """Features of rows arriving in batches against the same features over the whole history."""
     base = _scratch(spark)
     schema = T.StructType(
-        [f for f in pipelines.PAYMENT.fields if f.name in ("tx_id", "account", "counterparty", "t", "amount")]
+        [f for f in flows.PAYMENT.fields if f.name in ("tx_id", "account", "counterparty", "t", "amount")]
     )
     p = _p(spark, sf)
     hot = hot_keys(spark, sf, p)
@@ -526,12 +526,12 @@ def parity(spark, sf):
         return out.select("tx_id", *exact, *real)
 
     # Novelty and recency reach back without limit, so the horizon covers all of it.
-    batches = pipelines.feature_batches(features, f"{base}/history", f"{base}/features", schema, 400 * DAY)
+    batches = flows.feature_batches(features, f"{base}/history", f"{base}/features", schema, 400 * DAY)
 
     def run(part: DataFrame) -> None:
         part.write.mode("append").parquet(f"{base}/in")
-        stream = pipelines.payment_stream(spark, f"{base}/in", 1_000)
-        pipelines.run_available(stream, batches, f"{base}/ckpt").awaitTermination()
+        stream = flows.payment_stream(spark, f"{base}/in", 1_000)
+        flows.run_available(stream, batches, f"{base}/ckpt").awaitTermination()
 
     _in_two_runs(spark, _payments(p), "t", _SPLIT, run)
     streamed = spark.read.parquet(f"{base}/features").drop("batch")
@@ -554,4 +554,92 @@ def missing_feeds(spark, sf):
     """A third of the labels never came."""
     p = _p(spark, sf).withColumn("label_at", F.when(F.col("k") % 3 != 0, F.col("label_at")))
     rows = p.withColumn("producer", operations.institution())
-    return pipelines.missing_feeds(rows, EPOCH + 30 * DAY).select("producer", "payments", "overdue", "missing")
+    return flows.missing_feeds(rows, EPOCH + 30 * DAY).select("producer", "payments", "overdue", "missing")
+
+
+@query(
+    "k03_stream_labels",
+    sql(
+        f"""SELECT p.tx_id, count(h.tx_id) AS confirmed FROM payments p LEFT JOIN payments h ON h.counterparty = p.counterparty
+  AND h.is_fraud AND h.t < p.t AND h.t > p.t - {90 * DAY} AND h.label_at < p.t GROUP BY 1""",
+        "payments",
+    ),
+)
+def stream_labels(spark, sf):
+    """Payments and labels as one stream, each at the time it becomes known."""
+    p = _p(spark, sf)
+    paid = p.select("counterparty", F.lit("payment").alias("kind"), F.col("t").alias("at"), "t", "tx_id")
+    told = p.filter("is_fraud").select("counterparty", F.lit("label").alias("kind"), F.col("label_at").alias("at"), "t", "tx_id")
+    make = lambda stream: state.keyed(stream, "counterparty", state.CounterpartyLabels(90 * DAY), state.LABELLED)
+    return _stateful(spark, paid.unionByName(told), "at", _SPLIT, make, state.LABELLED).drop("counterparty")
+
+
+@query(
+    "k10_stream_hold_timeout",
+    sql(
+        f"""SELECT s.tx_id, CASE WHEN s.tx_id % 2 = 0 THEN 'TIMEOUT_RELEASE' ELSE 'DECLINE' END AS decision,
+  CASE WHEN s.tx_id % 2 = 0 THEN 'REVIEW_TIMEOUT' ELSE 'REVIEW_TIMEOUT_DECLINED' END AS reason
+FROM states s WHERE seq = 1 AND decision = 'HOLD' AND NOT EXISTS (SELECT 1 FROM states x WHERE x.tx_id = s.tx_id AND x.seq > 1)
+  AND s."at" + {1800 * SECOND} < (SELECT max("at") FROM states) - {600 * SECOND}""",
+        "states",
+    ),
+)
+def stream_hold_timeout(spark, sf):
+    """Event-time timers: a hold nobody answered is settled once the watermark passes its deadline."""
+    base = _scratch(spark)
+    s = operations.decision_states(_p(spark, sf)).select("tx_id", "seq", "decision", "at").withColumn(
+        "policy", F.when(F.col("tx_id") % 2 == 0, "RELEASE_WITH_TIMEOUT_LABEL").otherwise("DECLINE_AND_VERIFY")
+    )
+    s.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(s.schema).parquet(f"{base}/in")
+    timed = stream.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", "10 minutes")
+    out = state.keyed(timed, "tx_id", state.HoldTimeout(1800 * SECOND), state.HOLD, time="EventTime")
+    flows.run_available(out, flows.append_to(f"{base}/out"), f"{base}/ckpt").awaitTermination()
+    return flows.stored(spark, f"{base}/out", state.HOLD).drop("resolved_at")
+
+
+@query(
+    "k16_parent_wait",
+    sql(
+        f"""SELECT tx_id, k % 5 <> 0 AS has_parent FROM payments
+WHERE k % 5 <> 0 OR t < (SELECT max(t) FROM payments) - {3600 * SECOND}""",
+        "payments",
+    ),
+)
+def parent_wait(spark, sf):
+    """Children wait five minutes for their parent; those without one come out when it has run out."""
+    base = _scratch(spark)
+    p = _p(spark, sf).select("tx_id", "t", "k")
+    p.write.parquet(f"{base}/children")
+    p.filter("k % 5 <> 0").write.parquet(f"{base}/parents")
+
+    def read(name: str) -> DataFrame:
+        return spark.readStream.schema(p.schema).parquet(f"{base}/{name}").withColumn("ts", F.timestamp_micros("t"))
+
+    joined = flows.with_parent(read("children"), read("parents"), "tx_id")
+    rows = joined.select("tx_id", "t", F.col("p_key").isNotNull().alias("has_parent"))
+    flows.run_available(rows, flows.append_to(f"{base}/out"), f"{base}/ckpt").awaitTermination()
+    out = flows.stored(spark, f"{base}/out", T.StructType.fromDDL("tx_id long, t long, has_parent boolean"))
+    last = p.agg((F.max("t") - 3600 * SECOND).alias("w")).withColumn("k", F.lit(0))
+    kept = out.withColumn("k", F.lit(0)).join(F.broadcast(last), "k").filter("has_parent or t < w")
+    return kept.select("tx_id", "has_parent")
+
+
+@query(
+    "v01_sql_functions",
+    sql(
+        f"""SELECT tx_id, cell, CAST(hour(make_timestamp(t + utc_offset_hours * 3600000000)) AS INTEGER) AS hour,
+  round({'12742.0176::DOUBLE'} * asin(sqrt(pow(sin(radians(0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(0)) * pow(sin(radians(30 - lon) / 2), 2))), 6) AS km
+FROM located""",
+        "located",
+    ),
+)
+def sql_functions(spark, sf):
+    from tidewatch.functions.sql import register
+
+    register(spark)
+    tables.with_countries(_p(spark, sf), spark, sf).createOrReplaceTempView("tidewatch_located")
+    return spark.sql(
+        "SELECT tx_id, geo_cell(lat, lon) AS cell, local_hour(t, utc_offset_hours) AS hour,"
+        " round(haversine_km(lat, lon, 0D, 30D), 6) AS km FROM tidewatch_located"
+    )

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
-#: Quiet keys are dropped after this long.
+#: How long a quiet key is kept where a processor is given a time to live.
 TTL_MS = 30 * 24 * 3_600 * 1_000
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,6 +34,12 @@ def _rows(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
 
 
+def _frame(rows: list[tuple], schema: T.StructType) -> Iterator[pd.DataFrame]:
+    """One frame of output, or none at all when there is nothing to say."""
+    if rows:
+        yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+
+
 VELOCITY = T.StructType(
     [
         T.StructField("tx_id", T.LongType()),
@@ -85,7 +91,7 @@ class AccountVelocity(StatefulProcessor):
             known = [x for x in known if x > t - 7 * DAY] + [t] * len(same)
         self.times.put([(x,) for x in known])
         self.facts.update((first, last))
-        yield pd.DataFrame(out, columns=[f.name for f in VELOCITY.fields])
+        yield from _frame(out, VELOCITY)
 
     def close(self) -> None:
         pass
@@ -119,7 +125,7 @@ class AccountFreeze(StatefulProcessor):
                     self.frozen.update((t,))
                     break
             self.highs.put([(x,) for x in held])
-        yield pd.DataFrame(out, columns=[f.name for f in FREEZE.fields])
+        yield from _frame(out, FREEZE)
 
     def close(self) -> None:
         pass
@@ -169,7 +175,7 @@ class MccBreaker(StatefulProcessor):
             was_open = now_open
         if last is not None:
             self.breach.update((last, was_open))
-        yield pd.DataFrame(out, columns=[f.name for f in BREAKER.fields])
+        yield from _frame(out, BREAKER)
 
     def close(self) -> None:
         pass
@@ -207,7 +213,7 @@ class HoldTimeout(StatefulProcessor):
         elif answered and self.hold.exists():
             self.handle.deleteTimer(int(self.hold.get()[0]))
             self.hold.clear()
-        yield pd.DataFrame({f.name: [] for f in HOLD.fields})
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
@@ -219,7 +225,7 @@ class HoldTimeout(StatefulProcessor):
                  "REVIEW_TIMEOUT" if release else "REVIEW_TIMEOUT_DECLINED", int(deadline) * 1_000)
             )
             self.hold.clear()
-        yield pd.DataFrame(out, columns=[f.name for f in HOLD.fields])
+        yield from _frame(out, HOLD)
 
     def close(self) -> None:
         pass
@@ -252,7 +258,7 @@ class TokenBucket(StatefulProcessor):
             tokens -= 1.0 if allowed else 0.0
             out.append((int(r.tx_id), int(key[0]), allowed))
         self.bucket.update((tokens, at))
-        yield pd.DataFrame(out, columns=[f.name for f in LIMITED.fields])
+        yield from _frame(out, LIMITED)
 
     def close(self) -> None:
         pass
@@ -271,3 +277,50 @@ def keyed(
     return stream.groupBy(key).transformWithStateInPandas(
         processor, schema, mode, time, None if initial is None else initial.groupBy(key)
     )
+
+
+LABELLED = T.StructType(
+    [
+        T.StructField("tx_id", T.LongType()),
+        T.StructField("counterparty", T.LongType()),
+        T.StructField("confirmed", T.LongType()),
+    ]
+)
+
+
+class CounterpartyLabels(StatefulProcessor):
+    """Confirmed fraud per counterparty from a label stream, visible from its availability on.
+
+    Input rows are payments and labels of one key: (kind, at, t, tx_id), where ``at`` is the
+    payment's time or the label's availability. A label still to come is not in the state, and one
+    that came early is held back by its own availability.
+    """
+
+    def __init__(self, span: int):
+        self.span = span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.labels = handle.getListState("labels", "t long, at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _rows(rows, ["at", "kind", "tx_id"])
+        held = [(int(r[0]), int(r[1])) for r in self.labels.get()] if self.labels.exists() else []
+        out, now = [], None
+        for r in pdf.itertuples():
+            now = int(r.at)
+            if r.kind == "label":
+                held.append((int(r.t), now))
+            else:
+                seen = sum(1 for t, at in held if now - self.span < t < now and at < now)
+                out.append((int(r.tx_id), int(key[0]), seen))
+        if now is not None:
+            held = [x for x in held if x[0] > now - self.span]
+        # An empty list cannot be stored.
+        if held:
+            self.labels.put(held)
+        else:
+            self.labels.clear()
+        yield from _frame(out, LABELLED)
+
+    def close(self) -> None:
+        pass
