@@ -55,10 +55,10 @@ def histogram(
     )
 
 
-def auc(hist: DataFrame, group: list[str] | None = None) -> DataFrame:
+def auc(hist: DataFrame, group: list[str] | None = None, few_groups: bool = False) -> DataFrame:
     """(group, pos, neg, auc) with ties counted half; NULL where a class is missing."""
     group = group or []
-    ranked = prefix_sums(hist, "score", {"neg_below": "neg"}, group)
+    ranked = prefix_sums(hist, "score", {"neg_below": "neg"}, group, few_groups=few_groups)
     # Twice the count of (positive above negative) pairs, an exact integer.
     wins = F.sum(
         F.col("pos").cast(_BIG) * (2 * F.col("neg_below") + F.col("neg")).cast(_BIG)
@@ -91,7 +91,7 @@ def unpivot_features(matrix: DataFrame, names: list[str], keep: list[str]) -> Da
 def feature_separation(matrix: DataFrame, names: list[str], label: str = "is_fraud") -> DataFrame:
     """Separation of every single feature with its counts and standard error."""
     long = unpivot_features(matrix, names, [label])
-    scored = auc(histogram(long, "value", label, ["name"]), ["name"])
+    scored = auc(histogram(long, "value", label, ["name"]), ["name"], few_groups=True)
     return scored.withColumn("separation", separation(F.col("auc"))).withColumn(
         "error", stats.auc_standard_error(F.col("auc"), F.col("pos"), F.col("neg"))
     )
@@ -243,7 +243,7 @@ def by_variant(
 
 def psi(
     expected: DataFrame, actual: DataFrame, value: str, group: list[str] | None = None,
-    bins: int = PSI_BINS,
+    bins: int = PSI_BINS, few_groups: bool = False,
 ) -> DataFrame:
     """Population stability of ``actual`` against equal-mass bins of ``expected``."""
     group = group or []
@@ -254,7 +254,7 @@ def psi(
         return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
 
     base, other = counted(expected), counted(actual)
-    below = prefix_sums(base, value, {"below": "c"}, keys)
+    below = prefix_sums(base, value, {"below": "c"}, group, few_groups=few_groups)
     sizes = base.groupBy(*keys).agg(F.sum("c").alias("n"))
     i = F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("i")
     # Edge i is the value at position floor(i * n / bins) of the sorted expected values.

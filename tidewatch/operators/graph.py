@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.asof import latest
 from tidewatch.operators.hotkeys import broadcast_if_small
-from tidewatch.operators.order import quantiles
 from tidewatch.session import cut
 
 MAX_NODES = 50
@@ -173,8 +172,3 @@ def campaigns(payments: DataFrame, keys: list[str], days: int = 7, minimum: int
         .agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
         .filter(F.col("n") >= minimum)
     )
-
-
-def size_quantiles(membership: DataFrame) -> DataFrame:
-    sizes = membership.groupBy("key", "component").agg(F.count("*").alias("size"))
-    return quantiles(sizes, "size", {"median": 0.5, "p99": 0.99}, ["key"])

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
 
-#: Above this many rows a key is split. One task sorts a few million narrow rows comfortably.
-MIN_ROWS = 4_000_000
+#: Above this many rows a key is split: well within what one task sorts, or slides over in Python.
+MIN_ROWS = 1_000_000
 #: The search looks at one row in this many.
 ONE_IN = 64
 #: At most this many keys are listed. A key that is not among the MAX_KEYS largest holds less than

@@ -62,19 +62,23 @@ def prefix_sums(
     group: list[str] | None = None,
     descending: bool = False,
     buckets: int = BUCKETS,
+    few_groups: bool = False,
 ) -> DataFrame:
     """For each row, the sum of each column over rows of its group with a strictly smaller ``order``
     (larger when descending). ``order`` is unique in its group: pass a histogram.
 
-    Buckets are cut at approximate quantiles of the group, which only balances the work.
+    Buckets are cut at approximate quantiles of the group, which only balances the work. The cuts
+    and bucket totals are broadcast where their number is fixed: for one group, or for ``few_groups``
+    named by the caller's own list. Joining them by shuffle would gather a large group in one task.
     """
     group = group or []
+    small = F.broadcast if few_groups or not group else (lambda d: d)
     keyed = df if group else df.withColumn("__g", F.lit(0))
     keys = group or ["__g"]
     cuts = keyed.groupBy(*keys).agg(
         F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("__cuts")
     )
-    rows = keyed.join(cuts, keys).withColumn(
+    rows = keyed.join(small(cuts), keys).withColumn(
         "__b", F.size(F.filter("__cuts", lambda c: c < F.col(order)))
     ).drop("__cuts")
     sign = "__b" if not descending else "__nb"
@@ -89,7 +93,7 @@ def prefix_sums(
     local = Window.partitionBy(*keys, sign).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.select(
         *rows.columns, *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"__l_{n}") for n, c in sums.items()]
-    ).join(offsets, [*keys, sign])
+    ).join(small(offsets), [*keys, sign])
     return out.select(
         *df.columns, *[(F.col(f"__l_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums]
     )
@@ -127,9 +131,9 @@ def quantiles(
     keys = group or ["__g"]
     rows = df if group else df.withColumn("__g", F.lit(0))
     hist = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    low = prefix_sums(hist, value, {"__below": "__c"}, keys)
+    low = prefix_sums(hist, value, {"__below": "__c"}, group)
     sizes = hist.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    placed = low.join(sizes, keys)
+    placed = low.join(sizes if group else F.broadcast(sizes), keys)
 
     def holds(position: Column) -> Column:
         return (F.col("__below") <= position) & (position < F.col("__below") + F.col("__c"))

@@ -293,7 +293,7 @@ def gate_metrics(spark, sf) -> DataFrame:
     hist = _hist(spark, sf)
     flag = ev.operating_point(hist, ev.FLAG)
     block = ev.operating_point(hist, ev.BLOCK)
-    per_channel = ev.auc(ev.histogram(p, group=["channel"]), ["channel"])
+    per_channel = ev.auc(ev.histogram(p, group=["channel"]), ["channel"], few_groups=True)
     flagged = operations.contributions(p).filter(F.col("score") >= ev.FLAG)
     mass = ev.calibration_error(_equal_mass(spark, sf))
 
@@ -566,7 +566,7 @@ def feature_drift(spark, sf):
     """Each feature's stability, the later half of the month against the earlier."""
     long = ev.unpivot_features(_single_matrix(spark, sf), _SINGLE, ["t"])
     before, after = long.filter(F.col("t") < PLAN.validation), long.filter(F.col("t") >= PLAN.validation)
-    out = ev.psi(before, after, "value", ["name"])
+    out = ev.psi(before, after, "value", ["name"], few_groups=True)
     return rounded(out.withColumn("drifted", F.col("psi") > 0.2), "psi")
 
 
