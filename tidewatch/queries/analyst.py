@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import reasons
-from tidewatch.operators import analyst, asof, audit, decide, graph
+from tidewatch.operators import analyst, asof, audit, graph
 from tidewatch.operators import aggregates as ag
 from tidewatch.operators.order import spread, time_index
 from tidewatch.plans import operations, tables
