@@ -83,7 +83,7 @@ WITH given AS (
   FROM (SELECT *, array_to_string(p[-2:], '.') IN ('ac.uk', 'co.uk', 'gov.uk', 'org.uk', 'com.au', 'net.au', 'org.au', 'co.jp',
     'ne.jp', 'or.jp', 'co.kr', 'co.nz', 'co.za', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'com.tw', 'co.in', 'com.ar') AS two FROM parts)
 ), total AS (
-  SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS m FROM hosts
+  SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) ELSE 0::DOUBLE END AS m FROM hosts
 ), s0 AS (
   SELECT suffix, sum(n) AS n, sum(bad) AS bad, max(m) AS m FROM hosts, total GROUP BY suffix
 ), sk AS (

@@ -72,7 +72,7 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(host, bound): the lower posterior bound of the bad share of every host of pages (page_id, host).
 
     A page is bad if one of its labels (doc_id is the page's id) has quality 0 or toxic 1; labels
-    without id or without both values are no labels. Hosts without labels have their domain's share.
+    without id or without both values are no labels. Hosts without labels have their domain's share; without any label all shares are 0.
     """
     marks = labels.select("doc_id", "quality", "toxic").filter("doc_id is not null and (quality is not null or toxic is not null)")
     worst = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0))
@@ -82,7 +82,7 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
         F.count("is_bad").alias("n"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad"))
     hosts = stored(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
     n, bad = hosts.agg(F.sum("n"), F.sum("bad")).first()  # one row
-    total = F.lit(((bad or 0) + 0.5) / ((n or 0) + 1.0))
+    total = F.lit((bad + 0.5) / (n + 1.0) if n else 0.0)
     add = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     suffixes = _drawn(hosts.groupBy("suffix").agg(*add).withColumn("towards", total))
     above = suffixes.select("suffix", F.col("mean").alias("towards"))
