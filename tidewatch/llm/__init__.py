@@ -1,5 +1 @@
-"""Operations of training-data pipelines over documents and pages."""
-
-from tidewatch.llm.queries import ORACLE, QUERIES
-
-__all__ = ["ORACLE", "QUERIES"]
+"""Operations of training-data pipelines over documents and pages; their queries are in `queries`."""
