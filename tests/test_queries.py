@@ -16,6 +16,8 @@ SAMPLE = [
     "f01_velocity_ratio_1h_vs_30d", "f10_amount_zscore_90d", "f24_geo_cell_fraud_rate_30d",
     "f28_counterparty_confirmed_fraud_90d", "e01_auc", "e07_t05_recall_at_budget", "e20_psi", "d08_decision",
     "k08_circuit_breaker", "g01_component_sizes", "p01_request_validation",
+    "s12_k14_envelope_routing", "k12_stream_ingest", "s14_stream_facts", "s15_stream_profiles", "k13_stream_first_copies",
+    "f43_corridor_class", "g02_network",
 ]
 
 

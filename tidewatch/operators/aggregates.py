@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import stats
-from tidewatch.operators.hotkeys import HOUR, Split, broadcast_if_small
+from tidewatch.operators.hotkeys import HOUR, Split
 from tidewatch.operators.order import quantiles
 from tidewatch.operators.running import Agg, running
 
@@ -227,7 +227,7 @@ def country_of_currency(countries: DataFrame) -> DataFrame:
 
 
 def attach_country(rows: DataFrame, countries: DataFrame) -> DataFrame:
-    return rows.join(broadcast_if_small(country_of_currency(countries)), "currency", "left")
+    return rows.join(country_of_currency(countries), "currency", "left")
 
 
 def history_slice(history: DataFrame, since: int, until: int) -> DataFrame:
@@ -249,7 +249,7 @@ def row_position(rows: DataFrame, file: str, at: str, tie: list[str], grain: int
         {"__i": Agg("sum", F.lit(1).cast("long"))}, Split("__c", ("0",), grain), tie=[F.col(c) for c in tie],
     ).drop("__c")
     sizes = rows.groupBy(file).agg(F.count("*").alias("__n"))
-    return numbered.join(broadcast_if_small(sizes), file).select(
+    return numbered.join(sizes, file).select(
         *rows.columns, (F.col(at) % SECOND).alias("sub_second"),
         F.dayofmonth(F.timestamp_micros(at)).alias("day"),
         (F.coalesce(F.col("__i"), F.lit(0)) / F.greatest(F.col("__n") - 1, F.lit(1))).alias("position"),

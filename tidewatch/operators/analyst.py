@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import clock, reasons
 from tidewatch.operators.asof import latest
-from tidewatch.operators.hotkeys import broadcast_if_small
 from tidewatch.operators.order import quantiles
 
 DAY = 86_400_000_000
@@ -247,7 +246,7 @@ def profiles(payments: DataFrame, compared: DataFrame, days: int = 90) -> DataFr
         F.col("channel").alias("c_channel"), F.col("counterparty").alias("c_cp"),
         F.col("device").alias("c_device"), F.col("counterparty_country").alias("c_country"),
     )
-    rows = payments.join(broadcast_if_small(c), "account").filter(
+    rows = payments.join(c, "account").filter(
         (F.col("t") >= F.col("__t") - days * DAY) & (F.col("t") < F.col("__t"))
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.hotkeys import Split, broadcast_if_small
+from tidewatch.operators.hotkeys import Split
 from tidewatch.operators.running import Agg, running, sweep
 
 
@@ -42,13 +42,13 @@ def asof_small(
 ) -> DataFrame:
     """The same for configuration-sized versions: each key's versions travel as one sorted array.
 
-    The array is broadcast only when its table is small enough, else joined.
+    How the arrays are joined is left to the sizes that Spark measures.
     """
     packed = versions.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct(effective, value))).alias("__vs")
     )
     in_force = F.filter("__vs", lambda v: v[effective] <= F.col(at))
-    joined = events.join(broadcast_if_small(packed), key, "left")
+    joined = events.join(packed, key, "left")
     return joined.withColumn(value, F.try_element_at(in_force, F.lit(-1))[value]).drop("__vs")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import reasons
 from tidewatch.operators.asof import latest
-from tidewatch.operators.hotkeys import HotKeys, Split, broadcast_if_small
+from tidewatch.operators.hotkeys import HotKeys, Split
 from tidewatch.operators.order import quantiles
 from tidewatch.operators.running import Agg, Trailing, running, sweep, trailing
 
@@ -46,7 +46,7 @@ def tiered(df: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Tier by the channel's thresholds, the defaults where a channel has none."""
     medium, high = F.coalesce("medium", F.lit(0.60)), F.coalesce("high", F.lit(0.85))
     return (
-        df.join(broadcast_if_small(thresholds), "channel", "left")
+        df.join(thresholds, "channel", "left")
         .withColumn("tier", tier(F.col("score"), medium, high))
         .drop("medium", "high")
     )
@@ -155,10 +155,8 @@ def resolve_holds(overdue: DataFrame, policies: DataFrame, now_us: int) -> DataF
 
     Policies are ordered by version, not by time: the highest version effective by then.
     """
-    packed = broadcast_if_small(
-        policies.groupBy("scope").agg(
-            F.sort_array(F.collect_list(F.struct("version", "effective_at", "policy"))).alias("__ps")
-        )
+    packed = policies.groupBy("scope").agg(
+        F.sort_array(F.collect_list(F.struct("version", "effective_at", "policy"))).alias("__ps")
     )
     in_force = F.filter("__ps", lambda v: v["effective_at"] <= F.col("at"))
     policy = F.coalesce(

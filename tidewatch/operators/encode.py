@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.keys import fold_of
-from tidewatch.operators.hotkeys import HOUR, HotKeys, Split, broadcast_if_small
+from tidewatch.operators.hotkeys import HOUR, HotKeys, Split
 from tidewatch.operators.order import global_running
 from tidewatch.operators.running import Agg, running
 
@@ -104,7 +104,7 @@ def out_of_fold(
             ).alias("encoded"),
         )
     )
-    return marked.join(broadcast_if_small(rates), [category, "fold"])
+    return marked.join(rates, [category, "fold"])
 
 
 def expanding(
@@ -150,7 +150,7 @@ def expanding(
     rest = (
         marked.filter(~F.col("__train"))
         .select("tx_id", category, k)
-        .join(broadcast_if_small(fit.select(category, "rate")), category, "left")
+        .join(fit.select(category, "rate"), category, "left")
         .join(F.broadcast(base.select("*", k)), "__k")
         .select("tx_id", F.coalesce(F.col("rate"), F.col("__base")).alias("encoded"))
     )

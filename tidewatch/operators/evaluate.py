@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import stats
-from tidewatch.operators.hotkeys import Split, broadcast_if_small
+from tidewatch.operators.hotkeys import Split
 from tidewatch.operators.order import prefix_sums, value_index
 
 # Operating points, budgets and gate thresholds.
@@ -261,7 +261,7 @@ def psi(
     wanted = sizes.select(*keys, "n", i).withColumn("pos", F.expr(f"least(n - 1, (i * n) div {bins})"))
     wanted = wanted.groupBy(*keys).agg(F.collect_list("pos").alias("positions"))
     edges = (
-        below.join(broadcast_if_small(wanted), keys)
+        below.join(wanted, keys)
         .withColumn(
             "hits",
             F.size(
@@ -277,7 +277,7 @@ def psi(
     )
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        binned = df.join(broadcast_if_small(edges), keys).withColumn(
+        binned = df.join(edges, keys).withColumn(
             "bin", F.size(F.filter("edges", lambda e: F.col(value) > e))
         )
         return binned.groupBy(*keys, "bin").agg(F.sum("c").alias(name))

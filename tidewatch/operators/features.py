@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import clock
 from tidewatch.functions.geo import corridor_class, haversine_km
-from tidewatch.operators.hotkeys import HotKeys, broadcast_if_small
+from tidewatch.operators.hotkeys import HotKeys
 from tidewatch.operators.running import (
     Agg,
     Delta,
@@ -360,7 +360,7 @@ def declared_channel(channel: Column) -> Column:
 
 def round_sum(p: DataFrame, countries: DataFrame) -> DataFrame:
     """Whether the minor-unit amount is an exact multiple of a denomination of its currency."""
-    packs = broadcast_if_small(countries.select("currency", "denominations"))
+    packs = countries.select("currency", "denominations")
     hit = F.exists("denominations", lambda d: (d > 0) & (F.col("cents") % F.nullif(d, F.lit(0)) == 0))
     return (
         p.join(packs, "currency", "left")
@@ -404,14 +404,14 @@ def _limit_hit(p: DataFrame, limits: DataFrame, key: str, name: str) -> DataFram
             & (F.col("cents") < v["limit_cents"])
         )
 
-    return p.join(broadcast_if_small(intervals), key, "left").withColumn(
+    return p.join(intervals, key, "left").withColumn(
         name, F.exists("_iv", inside)
     ).drop("_iv")
 
 
 def corridors(p: DataFrame, countries: DataFrame) -> DataFrame:
     """Class of the corridor between the sender's and the recipient's country."""
-    facts = broadcast_if_small(countries.select("country", "blocs", "continent"))
+    facts = countries.select("country", "blocs", "continent")
     home = facts.select(
         F.col("country"), F.col("blocs").alias("_hb"), F.col("continent").alias("_hc")
     )

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.asof import latest
-from tidewatch.operators.hotkeys import broadcast_if_small
 from tidewatch.session import cut
 
 MAX_NODES = 50
@@ -34,7 +33,7 @@ def entity_edges(payments: DataFrame, keys: list[str]) -> DataFrame:
     return used.join(smallest, ["key", "entity"]).select("key", "account", "other").distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, account, component): the smallest account reachable, per key.
 
     Alternates two steps until nothing moves: every node hangs its larger neighbours, then all its
@@ -43,7 +42,7 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> Data
     """
     current = cut(edges.filter("account <> other").select("key", F.col("account").alias("u"), F.col("other").alias("v")))
     previous = None
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select("key", F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("key", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(low, ["key", "u"]).select("key", F.col("v").alias("u"), F.col("m").alias("v"))
@@ -61,8 +60,6 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> Data
         if state == previous:
             break
         previous = state
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(
         current.select("key", F.col("u").alias("account"), F.col("v").alias("component")),
         ["key", "account"],
@@ -92,10 +89,14 @@ def component_sizes(membership: DataFrame) -> DataFrame:
     ).withColumn("largest_share", share).withColumn("foldable", share <= LARGEST_SHARE)
 
 
-def adjacency(links: DataFrame) -> DataFrame:
-    """(node, other, n): payments between two accounts, in either direction."""
-    there = links.select(F.col("source").alias("node"), F.col("target").alias("other"))
-    back = links.select(F.col("target").alias("node"), F.col("source").alias("other"))
+def adjacency(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, other, n): payments between a chosen node and another account, in either direction.
+
+    Only payments that touch a chosen node are shuffled and counted.
+    """
+    chosen = nodes.select("node").distinct()
+    there = links.select(F.col("source").alias("node"), F.col("target").alias("other")).join(chosen, "node", "left_semi")
+    back = links.select(F.col("target").alias("node"), F.col("source").alias("other")).join(chosen, "node", "left_semi")
     return there.unionByName(back).filter("node <> other").groupBy("node", "other").agg(F.count("*").alias("n"))
 
 
@@ -105,9 +106,8 @@ def networks(links: DataFrame, roots: DataFrame, max_nodes: int = MAX_NODES) ->
     First degree ranks by payments with the root, second by the most payments with any one
     first-degree node; ties by token. The rank limit is pushed below the shuffle by Spark.
     """
-    adj = adjacency(links)
     start = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("degree"))
-    first = adj.join(broadcast_if_small(roots.withColumn("node", F.col("root"))), "node").select("root", F.col("other").alias("node"), "n")
+    first = adjacency(links, start).join(start.select("root", "node"), "node").select("root", F.col("other").alias("node"), "n")
     by_links = Window.partitionBy("root").orderBy(F.desc("n"), "node")
     first = (
         first.withColumn("r", F.row_number().over(by_links))
@@ -117,7 +117,7 @@ def networks(links: DataFrame, roots: DataFrame, max_nodes: int = MAX_NODES) ->
     chosen = start.unionByName(first)
     used = first.groupBy("root").agg(F.count("*").alias("used"))
     second = (
-        adj.join(broadcast_if_small(first.select("root", "node")), "node")
+        adjacency(links, first).join(first.select("root", "node"), "node")
         .groupBy("root", F.col("other").alias("node"))
         .agg(F.max("n").alias("n"))
         .join(chosen.select("root", "node"), ["root", "node"], "left_anti")
@@ -132,8 +132,10 @@ def networks(links: DataFrame, roots: DataFrame, max_nodes: int = MAX_NODES) ->
 
 def network_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(root, source, target, n): payments between two chosen nodes, both ends by semi-join shape."""
-    pairs = links.groupBy("source", "target").agg(F.count("*").alias("n"))
-    members = broadcast_if_small(nodes.select("root", "node"))
+    ends = [nodes.select(F.col("node").alias(end)).distinct() for end in ("source", "target")]
+    near = links.join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi")
+    pairs = near.groupBy("source", "target").agg(F.count("*").alias("n"))
+    members = nodes.select("root", "node")
     return (
         pairs.join(members.withColumnRenamed("node", "source"), "source")
         .join(nodes.select("root", F.col("node").alias("target")), ["root", "target"])

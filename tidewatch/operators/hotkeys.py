@@ -83,9 +83,3 @@ def find_hot_keys(
     for row in rows:
         found.setdefault(row["c"], []).append(row["v"])
     return HotKeys({c: tuple(sorted(v)) for c, v in found.items()}, grain)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after checking the side really is small; else let Spark shuffle."""
-    small = len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows
-    return F.broadcast(df) if small else df

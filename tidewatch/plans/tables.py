@@ -99,10 +99,9 @@ def with_countries(p: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(facts.withColumnRenamed("country_key", "nk"), "nk")
         .drop("nk")
     )
+    suppliers = read(spark, sf_dir, "supplier")
     recipient = (
-        read(spark, sf_dir, "supplier")
-        .filter(F.col("s_suppkey") < 10)
-        .select(F.col("s_suppkey").alias("sk"), F.col("s_nationkey").cast("long").alias("nk"))
+        suppliers.select(F.col("s_suppkey").alias("sk"), F.col("s_nationkey").cast("long").alias("nk"))
         .join(
             facts.select(
                 F.col("country_key").alias("nk"), F.col("country").alias("counterparty_country")
@@ -112,8 +111,8 @@ def with_countries(p: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
         .drop("nk")
     )
     return (
-        p.withColumn("sk", F.col("k") % 10)
-        .join(F.broadcast(recipient), "sk", "left")  # ten rows by the filter above
+        p.withColumn("sk", F.col("k") % suppliers.count())  # the count stands in the file footers
+        .join(recipient, "sk", "left")
         .drop("sk")
         .join(sender, "account", "left")
     )

@@ -383,10 +383,10 @@ def _links(p: DataFrame) -> DataFrame:
 _NET = f"""links AS (SELECT account AS source, counterparty AS target FROM payments WHERE t >= {NOW - 20 * DAY}),
 adj AS (SELECT node, other, count(*) AS n FROM (SELECT source AS node, target AS other FROM links
     UNION ALL SELECT target, source FROM links) WHERE node <> other GROUP BY 1, 2),
-d1 AS (SELECT other AS node, n FROM adj WHERE node = 5 QUALIFY row_number() OVER (ORDER BY n DESC, other) <= 29),
+d1 AS (SELECT other AS node, n FROM adj WHERE node = 5 QUALIFY row_number() OVER (ORDER BY n DESC, other) <= 49),
 d2 AS (SELECT other AS node, max(n) AS n FROM adj WHERE node IN (SELECT node FROM d1) AND other <> 5
     AND other NOT IN (SELECT node FROM d1) GROUP BY 1
-  QUALIFY row_number() OVER (ORDER BY max(n) DESC, other) <= 29 - (SELECT count(*) FROM d1)),
+  QUALIFY row_number() OVER (ORDER BY max(n) DESC, other) <= 49 - (SELECT count(*) FROM d1)),
 nodes AS (SELECT 5 AS node, 0 AS degree UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2)"""
 
 
@@ -403,7 +403,7 @@ LEFT JOIN (SELECT DISTINCT account, TRUE AS fraud FROM (SELECT account, arg_max(
 def network(spark, sf):
     p = _p(spark, sf)
     roots = p.filter(F.col("account") == 5).select(F.col("account").alias("root")).distinct()
-    nodes = graph.networks(_links(p), roots, max_nodes=30)
+    nodes = graph.networks(_links(p), roots)
     fraud = graph.confirmed_accounts(operations.label_events(p)).select(
         F.col("account").alias("node"), F.lit(True).alias("f")
     )
@@ -424,7 +424,7 @@ def network(spark, sf):
 def network_edges(spark, sf):
     p = _p(spark, sf)
     roots = p.filter(F.col("account") == 5).select(F.col("account").alias("root")).distinct()
-    nodes = graph.networks(_links(p), roots, max_nodes=30)
+    nodes = graph.networks(_links(p), roots)
     return graph.network_edges(_links(p), nodes).select("source", "target", "n")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +15,7 @@ from tidewatch.queries.evaluation import rounded
 from tidewatch.queries.features import hot_keys
 from tidewatch.queries.registry import query
 from tidewatch.queries.views import EPOCH, sql
-from tidewatch.session import checkpoint_dir
+from tidewatch.session import scratch_dir
 from tidewatch.sources import history, release, requests, topics
 from tidewatch.streaming import flows, state
 
@@ -30,7 +28,7 @@ def _p(spark, sf) -> DataFrame:
 
 def _scratch(spark) -> str:
     """A folder of its own in the shared place, for one run."""
-    return f"{checkpoint_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
+    return scratch_dir(spark, "tidewatch")
 
 
 _SPLIT = EPOCH + 15 * DAY
@@ -164,12 +162,16 @@ def _records(p: DataFrame) -> DataFrame:
         F.when(tx % 101 == 0, F.substring("value", 1, 40))
         .when(tx % 103 == 0, F.regexp_replace("value", "payment.decided", "payment.held"))
         .when(tx % 107 == 0, F.regexp_replace("value", '"schema_version":1', '"schema_version":9'))
+        .when(tx % 109 == 0, F.regexp_replace("value", '"event_type":"payment.decided",', ""))
+        .when(tx % 113 == 0, F.regexp_replace("value", '"schema_version":1,', ""))
+        .when(tx % 127 == 0, F.regexp_replace("value", '"payload":".*"', '"payload":"{no json"'))
         .otherwise(F.col("value")).alias("value"),
     )
 
 
 _REASON = """CASE WHEN tx_id % 101 = 0 THEN 'malformed' WHEN tx_id % 103 = 0 THEN 'wrong_type'
-  WHEN tx_id % 107 = 0 THEN 'wrong_version' END"""
+  WHEN tx_id % 107 = 0 THEN 'wrong_version' WHEN tx_id % 109 = 0 THEN 'wrong_type' WHEN tx_id % 113 = 0 THEN 'wrong_version'
+  WHEN tx_id % 127 = 0 THEN 'malformed' END"""
 
 
 @query(
@@ -411,6 +413,93 @@ def report(spark, sf):
     return spark.read.schema("metric string, value long").json(out)
 
 
+# ---- sinks of streams, stopped and started again with a new checkpoint over the stored data ---------------------
+
+
+def _restarted(spark, parts: list[DataFrame], read, batch) -> None:
+    """Each part arrives in a folder of its own, and a new stream with a new checkpoint takes it up."""
+    for part in parts:
+        base = _scratch(spark)
+        part.write.parquet(f"{base}/in")
+        flows.run_available(read(part, f"{base}/in"), batch, f"{base}/ckpt").awaitTermination()
+
+
+def _files(spark):
+    return lambda part, path: spark.readStream.schema(part.schema).parquet(path)
+
+
+@query(
+    "k12_stream_ingest",
+    sql(
+        """SELECT outcome, count(*) AS n FROM (
+  SELECT CASE n WHEN 0 THEN 'accepted' WHEN 1 THEN 'replay' WHEN 2 THEN 'conflict' ELSE 'dead' END AS outcome FROM payments, range(4) r(n)
+  WHERE n = 0 OR (n = 1 AND k % 3 = 0) OR (n = 2 AND k % 7 = 0) OR (n = 3 AND k % 5 = 0)) GROUP BY 1""",
+        "payments",
+    ),
+)
+def stream_ingest(spark, sf):
+    """Requests and copies in a first run; other amounts and broken bodies in a second one."""
+    p, base = _p(spark, sf), _scratch(spark)
+    sent = _submitted(p)
+    broken = p.filter("k % 5 = 0").select(F.concat(F.lit('{"transaction_id":'), F.col("tx_id")).alias("value"))
+    parts = [
+        sent.filter("arrival < 2").select(F.col("body").alias("value")),
+        sent.filter("arrival = 2").select(F.col("body").alias("value")).unionByName(broken),
+    ]
+    _restarted(spark, parts, _files(spark), flows.ingest_batches(EPOCH + 60 * DAY, base))
+    taken = spark.read.parquet(f"{base}/accepted").select(F.lit("accepted").alias("outcome"))
+    refused = spark.read.parquet(f"{base}/refused").select("outcome")
+    dead = spark.read.parquet(f"{base}/dead").select(F.lit("dead").alias("outcome"))
+    return taken.unionByName(refused).unionByName(dead).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    "s14_stream_facts",
+    sql(
+        """SELECT tx_id, label_id, label FROM (SELECT *, row_number() OVER (PARTITION BY tx_id
+  ORDER BY label_id % 2 = 0, label_id) AS r FROM label_events) WHERE r = 1""",
+        "label_events",
+    ),
+)
+def stream_facts(spark, sf):
+    """Corrections arrive in a first run and the labels they correct in a second: what is stored first stays."""
+    base = _scratch(spark)
+    rows = operations.label_events(_p(spark, sf)).select("tx_id", "label_id", "label")
+    first = F.col("label_id") % 2 == 1
+    _restarted(spark, [rows.filter(first), rows.filter(~first)], _files(spark), flows.fact_sink(base, ["tx_id"], ["label_id"], rows.schema))
+    return flows.stored(spark, base, rows.schema)
+
+
+@query(
+    "s15_stream_profiles",
+    sql(
+        """SELECT account, min(first_seen) AS first_seen, max(opened_at) AS opened_at FROM (
+  SELECT account, min(t) AS first_seen, NULL AS opened_at FROM payments GROUP BY 1
+  UNION ALL SELECT account, NULL, opened_at FROM profiles) GROUP BY 1""",
+        "payments",
+        "profiles",
+    ),
+)
+def stream_profiles(spark, sf):
+    base, p, null = _scratch(spark), _p(spark, sf), F.lit(None).cast("long")
+    seen = p.select("account", F.col("t").alias("first_seen"), null.alias("opened_at"))
+    opened = tables.profiles(spark, sf).select("account", null.alias("first_seen"), "opened_at")
+    later = seen.filter(F.col("first_seen") >= _SPLIT)
+    _restarted(spark, [later, seen.filter(F.col("first_seen") < _SPLIT).unionByName(opened)], _files(spark), flows.profile_sink(base))
+    return flows.profiles(spark, base)
+
+
+@query("k13_stream_first_copies", sql("SELECT tx_id, t FROM payments", "payments"))
+def stream_first_copies(spark, sf):
+    """Events delivered once to three times, and kept once."""
+    base = _scratch(spark)
+    rows = _payments(_p(spark, sf)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("tx_id") % 3))).drop("copy")
+    rows.write.parquet(f"{base}/in")
+    kept = flows.first_copies(flows.payment_stream(spark, f"{base}/in", 1_000), "tx_id").select("tx_id", "t")
+    flows.run_available(kept, flows.append_to(f"{base}/out"), f"{base}/ckpt").awaitTermination()
+    return flows.stored(spark, f"{base}/out", T.StructType.fromDDL("tx_id long, t long"))
+
+
 # ---- streams ----------------------------------------------------------------------------------------------------------
 
 

@@ -43,7 +43,7 @@ FROM nation""",
 FROM payments p
 LEFT JOIN customer c ON c.c_custkey = p.account
 LEFT JOIN countries h ON h.country_key = c.c_nationkey
-LEFT JOIN supplier s ON s.s_suppkey = p.k % 10
+LEFT JOIN supplier s ON s.s_suppkey = p.k % (SELECT count(*) FROM supplier)
 LEFT JOIN countries a ON a.country_key = s.s_nationkey""",
     ),
     "tiers": (

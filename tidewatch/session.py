@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,15 +33,30 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a local one when none is set (tests only)."""
+    """The shared folder the cluster names, else one below the warehouse.
+
+    The warehouse is a shared place on a cluster; a local one is taken only if all executors are
+    threads of this process, since others would write to disks of their own.
+    """
     path = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
-        path = tempfile.mkdtemp(prefix="tidewatch-ckpt-")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        remote = "://" in path and not path.startswith("file:")
+        if not remote and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place, removed when the session's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the lineage ends in the shared folder, so lost executors cost nothing."""
     checkpoint_dir(df.sparkSession)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +70,9 @@ def feature_cache(spark: SparkSession, path: str, key: dict, compute) -> DataFra
     The key names the data set, its scale and the feature list; any difference is a miss.
     """
     digest = digest_of(key)
-    try:
-        stored = spark.read.json(f"{path}/key").first()
-    except AnalysisException:
-        stored = None
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/key")
+    known = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    stored = spark.read.schema("digest string, key string").json(f"{path}/key").first() if known else None
     if stored is None or stored["digest"] != digest:
         compute().write.mode("overwrite").parquet(f"{path}/matrix")
         spark.createDataFrame([(digest, json.dumps(key, sort_keys=True))], "digest string, key string").write.mode(

@@ -45,19 +45,20 @@ def envelopes(raw: DataFrame, event_type: str, version: int, payload: T.StructTy
     """Parsed envelopes with ``reason`` NULL when sound, else why the record cannot be used."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = raw.withColumn("e", F.from_json("value", ENVELOPE, options))
-    body = F.from_json("e.payload", payload, {"mode": "PERMISSIVE"})
-    e = F.col("e")
+    marked = T.StructType([*payload.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = parsed.withColumn("b", F.from_json("e.payload", marked, options))
+    e, body = F.col("e"), F.col("b")
     reason = (
         F.when(F.octet_length("value") > MAX_BYTES, "too_large")
         .when(e.isNull() | e["_corrupt"].isNotNull() | e["event_id"].isNull(), "malformed")
         .when(~e["event_id"].rlike(keys.UUID), "malformed")
-        .when(e["event_type"] != event_type, "wrong_type")
-        .when(e["schema_version"] != version, "wrong_version")
-        .when(e["payload"].isNull(), "malformed")
+        .when(~e["event_type"].eqNullSafe(event_type), "wrong_type")
+        .when(~e["schema_version"].eqNullSafe(version), "wrong_version")
+        .when(body.isNull() | body["_corrupt"].isNotNull(), "malformed")
     )
     return parsed.withColumn("reason", reason).select(
         "key", "value", "reason", "e.event_id", "e.event_type", "e.occurred_at", "e.institution_id",
-        body.alias("payload"),
+        F.when(reason.isNull(), F.struct(*[body[f.name].alias(f.name) for f in payload.fields])).alias("payload"),
     )
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +17,7 @@ from tidewatch.sources import requests, topics
 from tidewatch.sources.release import new_facts, upsert_profiles
 
 WATERMARK = "10 minutes"
+DAY = 86_400_000_000
 
 PAYMENT = T.StructType(
     [
@@ -50,23 +50,43 @@ def run_available(
     )
 
 
-def append_to(path: str) -> Callable[[DataFrame, int], None]:
+def batch_name(spark: SparkSession, number: int) -> str:
+    """A micro-batch's name: its stream's id, which lives as long as its checkpoint, and its number.
+
+    A repeated batch has the name it had; a stream with a new checkpoint over old data has new names.
+    """
+    stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+    return f"{stream}-{number:09d}"
+
+
+def append_to(path: str, *partitions: str) -> Callable[[DataFrame, int], None]:
     """A batch writer into one folder per micro-batch: a repeated batch replaces itself."""
 
     def write(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        target = f"{path}/batch={batch_name(df.sparkSession, number)}"
+        df.write.mode("overwrite").partitionBy(*partitions).parquet(target)
 
     return write
 
 
-def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """What the batches have written so far; empty before the first."""
-    try:
-        return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*").select(
-            *[f.name for f in schema.fields]
-        )
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def stored(spark: SparkSession, path: str, schema: T.StructType, before: str | None = None, partitions: str = "") -> DataFrame:
+    """What the batches have written so far; empty before the first.
+
+    ``before`` names a batch whose own earlier attempt is left out. ``partitions``: the columns and
+    types that append_to laid out as folders, which stay in the result.
+    """
+    folders = T.StructType.fromDDL(partitions).fields if partitions else []
+    kept = [f.name for f in [*schema.fields, *folders]]
+    whole = T.StructType([*schema.fields, T.StructField("batch", T.StringType()), *folders])
+    if not exists(spark, path):
+        return spark.createDataFrame([], whole).select(*kept)
+    rows = spark.read.schema(whole).parquet(path)
+    return (rows if before is None else rows.filter(F.col("batch") != before)).select(*kept)
 
 
 # ---- windowed totals ------------------------------------------------------------------------------------
@@ -100,26 +120,27 @@ def first_copies(events: DataFrame, key: str = "event_id", watermark: str = WATE
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
 
 
-ADMITTED = "tx_id string, fingerprint string, outcome string"
-
-
-def ingest_batches(now_us: int, out: str) -> Callable[[DataFrame, int], None]:
+def ingest_batches(now_us: int, out: str, arrival: str | None = None) -> Callable[[DataFrame, int], None]:
     """Validates raw request bodies and settles replays and conflicts against all earlier batches.
 
     Three outputs: accepted requests, replays and conflicts, and dead letters with their errors.
+    Within a batch the order of the column ``arrival``, such as an offset, decides who was first;
+    without one the order in which rows are read.
     """
 
     schema = T.StructType([T.StructField("tx_id", T.StringType()), T.StructField("fingerprint", T.StringType())])
 
     def process(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        checked = requests.validate(df.withColumn("body", F.col("value")), F.lit(now_us)).persist()
+        order = F.col(arrival) if arrival else F.monotonically_increasing_id()
+        sent = df.select(F.col("value").alias("body"), "value", order.alias("arrival"))
+        checked = requests.validate(sent, F.lit(now_us)).persist()
         try:
             good = checked.filter(F.size("errors") == 0).select(
                 F.try_element_at("fields", F.lit("transaction_id")).alias("tx_id"),
-                requests.fingerprint().alias("fingerprint"), F.xxhash64("body").alias("arrival"),
+                requests.fingerprint().alias("fingerprint"), "arrival",
             )
-            earlier = stored(spark, f"{out}/accepted", schema) if number else None
+            earlier = stored(spark, f"{out}/accepted", schema, batch_name(spark, number))
             settled = requests.admissions(good, earlier)
             accepted = settled.filter("outcome = 'accepted'").select("tx_id", "fingerprint").distinct()
             append_to(f"{out}/accepted")(accepted, number)
@@ -155,29 +176,31 @@ def fact_sink(path: str, keys: list[str], order: list[str], schema: T.StructType
 
     def process(df: DataFrame, number: int) -> None:
         # A repeated batch must not see its own earlier attempt.
-        existing = stored(df.sparkSession, path, schema) if number else df.limit(0)
+        existing = stored(df.sparkSession, path, schema, batch_name(df.sparkSession, number))
         append_to(path)(new_facts(df.select(*[f.name for f in schema.fields]), existing, keys, order), number)
 
     return process
 
 
-def profile_sink(path: str):
-    """Keeps the profile table: each batch writes a whole new version beside the last one."""
-    schema = "account long, first_seen long, opened_at long"
+PROFILE = T.StructType([T.StructField(c, T.LongType()) for c in ("account", "first_seen", "opened_at")])
+
+
+def profile_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Each batch appends its own accounts' profiles; what is stored is merged when it is read."""
 
     def process(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        previous = (
-            spark.read.schema(schema).parquet(f"{path}/version={number - 1}") if number
-            else spark.createDataFrame([], schema)
-        )
-        upsert_profiles(previous, df.select("account", "first_seen", "opened_at")).write.mode("overwrite").parquet(
-            f"{path}/version={number}"
-        )
+        rows = df.select(*[f.name for f in PROFILE.fields])
+        append_to(path)(upsert_profiles(rows.limit(0), rows), number)
 
     return process
 
 
+def profiles(spark: SparkSession, path: str) -> DataFrame:
+    """The profile table: the batches of profile_sink, merged."""
+    rows = stored(spark, path, PROFILE)
+    return upsert_profiles(rows.limit(0), rows)
+
+
 # ---- parents before children ----------------------------------------------------------------------------------
 
 
@@ -207,21 +230,20 @@ def feature_batches(
     all history, such as what an account had ever used.
     """
 
+    day = f"t div {DAY}"
+
     def process(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         new = df.select(*[f.name for f in schema.fields])
-        past = stored(spark, history, schema)
-        # The folder may hold this batch from an earlier attempt: batches are replaced, so skip it.
-        if number:
-            lowest = new.agg(F.min("t")).first()[0]
-            if lowest is not None:
-                past = past.join(new.select("tx_id"), "tx_id", "left_anti").filter(F.col("t") > lowest - horizon_us)
-            rows = past.unionByName(new)
-        else:
-            rows = new
+        lowest = new.agg(F.min("t")).first()[0]
+        past = stored(spark, history, schema, batch_name(spark, number), "day long")
+        if lowest is not None:  # whole days outside the horizon are not read
+            past = past.filter((F.col("day") >= (lowest - horizon_us) // DAY) & (F.col("t") > lowest - horizon_us))
+        past = past.drop("day").join(new.select("tx_id"), "tx_id", "left_anti").select(*new.columns)
+        rows = past.unionByName(new)
         computed = features(rows if durable is None else durable(rows))
         append_to(out)(computed.join(new.select("tx_id"), "tx_id", "left_semi"), number)
-        append_to(history)(new, number)
+        append_to(history, "day")(new.withColumn("day", F.expr(day)), number)
 
     return process
 
