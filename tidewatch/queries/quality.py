@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tidewatch.functions import keys
 from tidewatch.operators import features as ft
 from tidewatch.operators import models, quality as q
-from tidewatch.plans import operations, tables
+from tidewatch.plans import operations, registry, tables
 from tidewatch.queries.evaluation import PLAN, rounded
-from tidewatch.queries.features import hot_keys
+from tidewatch.queries.features import hot_keys, matrix
 from tidewatch.queries.registry import query
 from tidewatch.queries.summaries import MIX
 from tidewatch.queries.views import EPOCH, sql
+from tidewatch.session import scratch_dir
 
 DAY = tables.DAY
 
@@ -219,23 +220,19 @@ def fingerprint(spark, sf):
 
 # ---- models --------------------------------------------------------------------------------------------------
 
-_NAMES = [
-    "velocity_ratio_1h_vs_30d", "tx_count_1h", "tx_count_24h", "tx_count_7d", "amount_sum_24h", "amount_log1p",
-    "seconds_since_last_tx", "distance_from_last_tx_km", "is_local_night",
-]
+CATEGORIES = ["feature_channel", "corridor_class"]
 
 
 def model_matrix(spark, sf) -> DataFrame:
-    """Account-history features with the split and the encoded channel."""
-    p = tables.with_countries(_p(spark, sf), spark, sf)
-    hot = hot_keys(spark, sf, _p(spark, sf))
-    rows = ft.own_row(ft.account_history(p, hot))
-    rows = rows.select("tx_id", "account", "t", "is_fraud", "channel", "country", "mcc", "amount", *_NAMES)
-    return models.training_matrix(rows, PLAN, ["channel"], hot)
+    """All features with the split and the encoded categories; written once, since fitting reads it often."""
+    rows = matrix(spark, sf, keep=["account", "t", "is_fraud", "country"]).withColumnRenamed("channel", "feature_channel")
+    path = f"{scratch_dir(spark, 'matrix')}/rows"
+    models.training_matrix(rows, PLAN, CATEGORIES, hot_keys(spark, sf, _p(spark, sf))).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-FEATURES = [*_NAMES, "channel_rate"]
-SMALL = (models.Boost(5, 3, 0.2, 0.8, 7), models.Boost(5, 4, 0.1, 0.7, 11))
+FEATURES = registry.trainable() + [f"{c}_rate" for c in CATEGORIES]
+ENSEMBLE = (models.Boost(seed=7), models.Boost(depth=4, subsample=0.7, seed=11))
 
 
 @query(
@@ -256,19 +253,19 @@ def training_matrix(spark, sf):
 @query("m02_m03_boosted_ensemble")
 def ensemble(spark, sf):
     """Calibrated scores of the test rows."""
-    m = model_matrix(spark, sf).persist()
-    fitted = models.fit_ensemble(m, FEATURES, *SMALL)
+    m = model_matrix(spark, sf)
+    fitted = models.fit_ensemble(m, FEATURES, *ENSEMBLE)
     return fitted.score(m.filter("segment = 'test'")).select("tx_id", "is_fraud", "raw_score", "score")
 
 
 @query("m04_m05_baselines")
 def baselines(spark, sf):
     """Logistic regression, its Platt map, and a random forest on the same test rows."""
-    m = model_matrix(spark, sf).persist()
+    m = model_matrix(spark, sf)
     test = m.filter("segment = 'test'")
     logistic = models.fit_logistic(m, FEATURES)
     a, b = models.fit_platt(logistic.score(m.filter("calibration"), "raw_score"))
-    forest = models.fit_random_forest(m, FEATURES, trees=10)
+    forest = models.fit_random_forest(m, FEATURES)
     from tidewatch.functions.stats import platt
 
     parts = [
@@ -283,8 +280,8 @@ def baselines(spark, sf):
 
 @query("m06_isolation_forest")
 def anomalies(spark, sf):
-    m = model_matrix(spark, sf).persist()
-    forest = models.fit_isolation_forest(m.filter("segment = 'train'"), FEATURES, trees=50)
+    m = model_matrix(spark, sf)
+    forest = models.fit_isolation_forest(m.filter("segment = 'train'"), FEATURES)
     return forest.score(m.filter("segment = 'test'")).select("tx_id", "is_fraud", "anomaly")
 
 
@@ -294,7 +291,7 @@ def batch_scoring(spark, sf):
     from tidewatch.functions import reasons
     from tidewatch.operators.decide import tier
 
-    m = model_matrix(spark, sf).persist()
+    m = model_matrix(spark, sf)
     scored = models.fit_logistic(m, FEATURES).score(m.filter("segment = 'test'"))
     explained = operations.contributions(_p(spark, sf)).select("tx_id", "contributions")
     out = scored.join(explained, "tx_id")
@@ -306,24 +303,23 @@ def batch_scoring(spark, sf):
 
 @query("e17_ablations")
 def ablation(spark, sf):
-    m = model_matrix(spark, sf).persist()
-    groups = {
-        "velocity": ["velocity_ratio_1h_vs_30d", "tx_count_1h", "tx_count_24h", "tx_count_7d"],
-        "amount and channel": ["amount_sum_24h", "amount_log1p", "channel_rate"],
-    }
+    m = model_matrix(spark, sf)
+    groups: dict[str, list[str]] = {"category": [f"{c}_rate" for c in CATEGORIES]}
+    for name in registry.trainable():
+        groups.setdefault(registry.FEATURES[name].key, []).append(name)
     return models.ablations(m, groups)
 
 
 @query("e18_leave_one_country_out")
 def leave_one_out(spark, sf):
-    m = model_matrix(spark, sf).persist()
-    largest = [r["country"] for r in m.groupBy("country").count().orderBy(F.desc("count"), "country").limit(2).collect()]
-    return models.leave_one_out(m, "country", largest, FEATURES)
+    m = model_matrix(spark, sf)
+    held = m.filter("segment = 'test' and is_fraud").select("country").filter("country is not null").distinct()
+    return models.leave_one_out(m, "country", sorted(r[0] for r in held.collect()), FEATURES)  # the countries of one pack
 
 
 @query("e19_m09_seed_variance_and_size_grid")
 def seeds(spark, sf):
-    m = model_matrix(spark, sf).persist()
+    m = model_matrix(spark, sf)
     by_seed = models.seed_variance(m, FEATURES, [1, 2], models.Boost(3, 2)).select(
         F.concat(F.lit("seed "), "seed").alias("run"), "auc", "recall"
     )
