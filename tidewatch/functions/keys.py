@@ -36,8 +36,12 @@ def fold_of(account: Column, folds: int) -> Column:
 
 
 def sampled(key: Column, seed: int, per_mille: int) -> Column:
-    """Whether a row is in the keyed sample: a property of its id, not of where it lies."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1000)) < per_mille
+    """Whether a row is in the keyed sample: a property of its id, not of where it lies.
+
+    The first 32 bits of an MD5 decide, which other engines compute alike.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1000 < per_mille
 
 
 def derived_id(*parts: Column) -> Column:

@@ -544,7 +544,19 @@ def audit_chain(spark, sf):
     return audit.verify_chains(_audited(_p(spark, sf)), recomputed=F.sha2("content", 256))
 
 
-@query("h02_merkle_roots")
+_TREE = f"""levels AS (
+  SELECT t // {DAY} AS day, list(sha256(unhex('00' || sha256(tx_id || '|' || account || '|' || cents))) ORDER BY t, tx_id) AS h
+  FROM payments GROUP BY 1
+  UNION ALL
+  SELECT day, list_transform(range(0, (len(h) + 1) // 2), lambda i: CASE WHEN 2 * i + 2 <= len(h)
+    THEN sha256(unhex('01' || h[2 * i + 1] || h[2 * i + 2])) ELSE h[2 * i + 1] END)
+  FROM levels WHERE len(h) > 1)"""
+
+
+@query(
+    "h02_merkle_roots",
+    sql("SELECT day, h[1] AS root FROM levels WHERE len(h) = 1", "payments", then=_TREE).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def merkle(spark, sf):
     """Root of each day's audit rows, in payment order."""
     p = _p(spark, sf)

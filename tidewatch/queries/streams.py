@@ -583,8 +583,19 @@ def stream_breaker(spark, sf):
     return _stateful(spark, minutes, "minute", _SPLIT // 60_000_000, make, state.BREAKER)
 
 
+_BUCKET = """calls AS (
+  SELECT tx_id, account AS entity, t, row_number() OVER (PARTITION BY account ORDER BY t, tx_id) AS r FROM payments
+), buckets AS (
+  SELECT tx_id, entity, t, r, TRUE AS allowed, 1.0::DOUBLE AS tokens FROM calls WHERE r = 1
+  UNION ALL
+  SELECT tx_id, entity, t, r, full_to >= 1, full_to - CASE WHEN full_to >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+  FROM (SELECT c.*, least(2.0::DOUBLE, b.tokens + (c.t - b.t) / 1e6::DOUBLE * (1.0::DOUBLE / 1800.0::DOUBLE)) AS full_to
+        FROM buckets b JOIN calls c ON c.entity = b.entity AND c.r = b.r + 1))"""
+
+
 @query(
     "k17_rate_limit",
+    sql("SELECT tx_id, entity, allowed FROM buckets", "payments", then=_BUCKET).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def rate_limit(spark, sf):
     """Which calls exceed an account's budget of one per half hour with a burst of two."""

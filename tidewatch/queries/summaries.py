@@ -386,7 +386,14 @@ def account_fold(spark, sf):
     return _p(spark, sf).select("account").distinct().select("account", keys.fold_of(F.col("account"), 7).alias("fold"))
 
 
-@query("p11_x09_sample_hash")
+@query(
+    "p11_x09_sample_hash",
+    sql(
+        """SELECT tx_id, is_fraud FROM payments
+WHERE is_fraud OR CAST('0x' || left(md5('7:' || CAST(tx_id AS VARCHAR)), 8) AS BIGINT) % 1000 < 40""",
+        "payments",
+    ),
+)
 def sample_hash(spark, sf):
     """All positives and a keyed share of the rest: kept or not by id alone, wherever the row lies."""
     p = _p(spark, sf)
