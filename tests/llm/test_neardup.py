@@ -83,6 +83,19 @@ def test_copies_that_meet_only_in_their_source(docs_of):
     assert len({c for _, _, c in brute(rows, 2, 80)}) == 1
 
 
+def test_candidates_in_many_blocks(docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(neardup, "_TOKENS", 16)
+    rows = list(enumerate(texts(30, 160)))
+    base = ["b%d" % k for k in range(50)]
+    r = random.Random(31)
+    for k in range(60):  # near the limit of 0.8 to each other, in chains
+        base[r.randrange(50)] = f"n{k}"
+        rows.append((500 + k, " ".join(base)))
+    random.Random(32).shuffle(rows)
+    assert rows_of(neardup.near_duplicates(docs_of(rows), width=2, bands=20, rows=2)) == brute(rows, 2, 80)
+
+
 def test_empty_and_only_unlinked(docs_of):
     assert neardup.near_duplicates(docs_of([]).limit(0)).count() == 0
     assert rows_of(neardup.near_duplicates(docs_of([(1, "a b c"), (2, "d e f")]))) == [(1, 1, 1), (2, 1, 2)]

@@ -5,11 +5,11 @@ A document is the set of its word shingles. One permutation sigma scatters the s
 pi(sigma(x) + k * stride), pi being shifted round the circle by k steps. Coordinates are cut into
 bands; documents that agree in a whole band are candidates. Equal sets are one class from the start.
 
-Candidates of a band value are not expanded into pairs. In each round every value names leaders,
-who are tested against the members of other components; linked ones merge. The number of leaders
-grows fourfold a round, and a value is finished when its remaining members are in one component,
-so every candidate pair is either tested or already connected. Leaders are the members that meet
-most others first, which are the texts that copies were made from.
+Candidates of a band value are not expanded into pairs. First every value's leader, the member that
+meets most others, is tested against all of them, and linked ones merge; that settles the copies of
+one text, however many. A value whose members are then in several components is laid out in blocks
+of bounded size, and every pair of blocks is tested in one task, the members outside the largest
+component against all others. So each candidate pair is tested or connected already.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ from tidewatch.llm.shared import maybe_broadcast, stored
 BANDS, ROWS = 32, 5
 _STRIDE = 0x9E3779B1
 _CHUNK = 1024
+#: Documents and shingles of a block of candidates that are tested together, and shingles compared at once.
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 18
+_TOKENS = 2048
 
 
 def _scatter(x: np.ndarray, c: int) -> np.ndarray:
@@ -148,34 +151,86 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b")
 
 
-def _rounds(members: DataFrame, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """(v, component) of the members (key, doc_id, n) that have links; edges (u, v) are known ones."""
+def _block_links(shingles: list[np.ndarray], components: np.ndarray, blocks: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Linked pairs (places) of one pair of blocks: of each member and other component one link at most.
+
+    blocks tells the two apart; of two blocks only pairs across are tested, of one all its own.
+    """
+    names, component = np.unique(components, return_inverse=True)
+    outside = np.flatnonzero(component != np.bincount(component).argmax())
+    if len(outside) == 0:
+        return
+    sizes = np.array([len(x) for x in shingles])
+    owner = np.repeat(np.arange(len(shingles)), sizes)
+    tokens, place = np.unique(np.concatenate(shingles), return_inverse=True)
+    seen = np.bincount(place, minlength=len(tokens)) > 1
+    column = np.cumsum(seen) - 1
+    held = seen[place]
+    owner, place = owner[held], column[place[held]]
+    common = np.zeros((len(outside), len(shingles)), dtype=np.float32)
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for first in range(0, int(seen.sum()), _TOKENS):
+        a, b = np.searchsorted(place, [first, first + _TOKENS])
+        part = np.zeros((len(shingles), _TOKENS), dtype=np.float32)
+        part[owner[a:b], place[a:b] - first] = 1
+        common += part[outside] @ part.T
+    both = common.astype(np.int64)
+    linked = 100 * both >= percent * (sizes[outside][:, None] + sizes[None, :] - both)
+    linked &= component[outside][:, None] != component[None, :]
+    if len(np.unique(blocks)) > 1:
+        linked &= blocks[outside][:, None] != blocks[None, :]
+    for r, c in zip(*np.nonzero(linked), strict=True):
+        yield int(outside[r]), int(c)
+
+
+def _tested_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between different components of the members (key, doc_id, n, component) of each key.
+
+    A key's members are dealt over blocks by a hash, so many that a block has about BLOCK_DOCS
+    documents and BLOCK_SHINGLES shingles at most; each pair of blocks is one group.
+    """
+    size = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
+    dealt = members.join(members.groupBy("key").agg(size.alias("parts")), "key")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", "doc_id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("doc_id").to_numpy()
+        flat = table.column("shingles").combine_chunks()
+        offsets = np.asarray(flat.offsets)
+        values = np.asarray(flat.values)
+        own = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        links = {}
+        components = table.column("component").to_numpy()
+        for r, c in _block_links(own, components, table.column("own").to_numpy(), percent):
+            links.setdefault((r, components[c]), c)
+        pairs = [(ids[r], ids[c]) for (r, _), c in links.items()]
+        return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return dealt.join(sets, "doc_id").groupBy("key", "low", "high").applyInArrow(run, "u bigint, v bigint")
+
+
+def _components(members: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(v, component) of the members (key, doc_id, n) that have links; known has links (u, v) from the start."""
     busy = members.groupBy("key").agg(F.count("*").alias("c"))
     weight = members.join(busy, "key").groupBy("doc_id").agg(F.sum("c").alias("weight"))
-    active = stored(members.join(weight, "doc_id").withColumn("component", F.col("doc_id")), "active")
-    found, leaders_per_key = stored(least_reachable(edges), "components"), 1
-    while not active.isEmpty():
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(leaders_per_key))
-        order = F.struct("weight", (-F.col("doc_id")).alias("low"))
-        top = F.max(F.struct(order.alias("o"), "doc_id", "n", "component")).alias("t")
-        leaders = active.groupBy("key", slot.alias("slot")).agg(top).select(
-            "key", F.col("t.doc_id").alias("leader"), F.col("t.n").alias("leader_n"), F.col("t.component").alias("leader_component"))
-        leaders = stored(leaders, "leaders")
-        met = active.join(leaders, "key").filter(
-            (F.col("component") != F.col("leader_component"))
-            & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")))
-        pairs = met.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
-        links = stored(linked_pairs(pairs, sets, percent), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        edges = edges.unionByName(links)
-        found = stored(least_reachable(edges), "components")
-        rest = active.drop("component").join(leaders.select("key", F.col("leader").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        rest = rest.join(found.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn(
-            "component", F.coalesce("component", "doc_id"))
-        rest = stored(rest, "active")
-        open_keys = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        active = stored(rest.join(open_keys, "key", "left_semi"), "active")
-        leaders_per_key *= 4
-    return found
+    active = stored(members.join(weight, "doc_id"), "active")
+    top = F.max(F.struct("weight", (-F.col("doc_id")).alias("low"), "doc_id", "n")).alias("t")
+    leaders = active.groupBy("key").agg(top).select("key", F.col("t.doc_id").alias("leader"), F.col("t.n").alias("leader_n"))
+    met = active.join(leaders, "key").filter(
+        (F.col("doc_id") != F.col("leader")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")))
+    pairs = met.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
+    links = linked_pairs(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = stored(least_reachable(links.unionByName(known)), "components")
+    placed = members.join(found.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = stored(placed, "placed")
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    more = stored(_tested_in_blocks(placed.join(several, "key", "left_semi"), sets, percent), "more-links")
+    if more.isEmpty():
+        return found
+    return least_reachable(found.select(F.col("v").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
 def near_duplicates(
@@ -208,7 +263,7 @@ def near_duplicates(
     same = rows_of.join(repeated, "doc_id", "left_semi").join(named, ["set_a", "set_b"]).select(F.col("doc_id").alias("u"), "v")
     if not repeated.isEmpty():
         sets = sets.distinct()
-    found = _rounds(members, stored(sets, "sets"), stored(same, "same"), percent)
+    found = _components(members, stored(sets, "sets"), same, percent)
     named = named.join(found, "v", "left")
     named = named.select("set_a", "set_b", F.coalesce("component", "v").alias("_component"))
     out = sk.select("doc_id", "n", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
