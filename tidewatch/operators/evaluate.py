@@ -130,7 +130,7 @@ def budget_point(
 
 
 def operating_point(hist: DataFrame, threshold: float, group: list[str] | None = None) -> DataFrame:
-    """Everything at one threshold, flagging scores at or above it; undefined ratios are NULL."""
+    """Counts and rates of the rule `score >= threshold`, per group; a rate without cases is NULL."""
     flagged = F.col("score") >= F.lit(threshold)
     sums = hist.groupBy(*(group or [])).agg(
         F.coalesce(F.sum(F.when(flagged, F.col("pos"))), F.lit(0)).alias("tp"),

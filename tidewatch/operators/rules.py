@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 # Size limits of a rule.
 MAX_DEPTH, MAX_NODES, MAX_LIST = 16, 256, 1000
 
+# The operators of a rule.
 _COMPARE = {
     "eq": operator.eq, "ne": operator.ne, "gt": operator.gt, "gte": operator.ge,
     "lt": operator.lt, "lte": operator.le,

@@ -128,6 +128,24 @@ def release_checksums(spark, sf):
     )
 
 
+@query(
+    "s07_s08_month_partitions",
+    sql(
+        """SELECT strftime(ts, '%Y-%m') AS month, count(*) AS rows, count(DISTINCT account) AS accounts,
+  round(avg(CAST(amount AS DOUBLE)), 4) AS mean_amount FROM payments GROUP BY 1""",
+        "payments",
+    ),
+)
+def month_partitions(spark, sf):
+    """Written by month in two appends, and profiled by partition."""
+    base = f"{_scratch(spark)}/months"
+    p = _p(spark, sf).select(F.col("ts").alias("transaction_timestamp"), F.col("account").alias("account_id"), F.col("amount").alias("amount_rwf"), "t")
+    for part in (p.filter(F.col("t") < _SPLIT), p.filter(F.col("t") >= _SPLIT)):
+        history.write_month(part, base)
+    schema = T.StructType([*p.schema.fields, T.StructField("month", T.StringType())])
+    return rounded(history.profile(spark.read.schema(schema).parquet(base)).withColumn("mean_amount", F.col("mean_amount").cast("double")), "mean_amount", digits=4)
+
+
 @query(
     "s11_feature_cache",
     sql(
