@@ -24,7 +24,7 @@ from tidewatch.llm.tokens import encoder
 
 #: The dictionary learns from about so many documents, chosen by a hash of the id, and so many bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 8_192, 64 * 1024
-BLOCK_DOCS, BLOCK_BYTES = 2_048, 4 << 20
+BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
 LEVEL = 3
 
 BLOCK_SCHEMA = (

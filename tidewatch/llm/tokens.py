@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Pieces a Python worker remembers: about 40 MB. Beyond it the oldest are forgotten.
-PIECES = 1_000_000
+#: Pieces a Python worker remembers; beyond it they are forgotten and learned anew.
+PIECES = 500_000
 #: Bytes of text encoded at once, and words handed to the model at once.
-BLOCK_BYTES, BLOCK_WORDS = 12 << 20, 200
+BLOCK_BYTES, BLOCK_WORDS = 6 << 20, 200
 #: Stands before the first piece of a text, which has no space before it.
 _FIRST = "\x01"
 #: Marks at the end of a word that are a piece of their own.
@@ -165,6 +165,7 @@ class Encoder:
             before = ends[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
             yield from self._block(texts.slice(first, last - first))
+            pa.default_memory_pool().release_unused()
             first = last
 
 
