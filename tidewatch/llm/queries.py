@@ -36,6 +36,13 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+@_query("op1_passage_dedup")
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that its source repeats; a passage stays on its source's first page."""
+    out = lines.drop_lines(table(spark, sf_dir, "documents"), long_words=lines.LONG_WORDS)
+    return out.select("doc_id", "text", "n_lines", "n_dropped")
+
+
 @_query("op2_minhash_near_dedup", NEAR_DEDUP)
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
