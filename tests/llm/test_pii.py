@@ -85,6 +85,36 @@ def test_contexts_find_unseen_identifiers(docs_of):
     assert all(got[k][0].n_card == 1 and got[k][0].n_learned == 0 for k in range(60))
 
 
+def test_contexts_of_identifiers_written_with_spaces(docs_of):
+    """Phones of one country code and cards in groups are seeds; unseen spaced numbers behind the same words are added whole."""
+    r = random.Random(24)
+    digits = lambda k: "".join(r.choices("0123456789", k=k))
+
+    def card():
+        while True:
+            d = digits(16)
+            if luhn(d):
+                return " ".join(d[k : k + 4] for k in range(0, 16, 4))
+
+    filler = lambda: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(8))
+    gaps = [" ", "  "]
+    rows = [(k, f"{filler()} reach me at +1{r.choice(gaps)}({digits(3)}) {digits(3)}-{digits(4)}, {filler()}") for k in range(40)]
+    rows += [(k, f"{filler()} paid by card {card()} {filler()}") for k in range(40, 80)]
+    new = {
+        100: ("phone", "reach me at", "555 123 4567"), 101: ("phone", "reach me at", "(555) 123-4567"), 102: ("phone", "reach me at", "555 - 123 4567"),
+        103: ("card", "paid by card", "1234 5678 9012"), 104: ("card", "paid by card", "1234567890123"),
+    }
+    rows += [(k, f"{filler()} {words} {number}. {filler()}") for k, (_, words, number) in new.items()]
+    rows += [(110, f"{filler()} room size 555 123 4567 {filler()}"), (111, f"{filler()} reach me at " + " ".join(["123"] * 30)),
+             (112, f"{filler()} paid by card 12 34. 567890 {filler()}")]
+    got, text = results(docs_of(rows)), dict(rows)
+    assert all((got[k][0].n_phone, got[k][0].n_card, got[k][0].n_learned) == (int(k < 40), int(k >= 40), 0) for k in range(80))
+    for k, (kind, _, number) in new.items():
+        at = text[k].index(number)
+        assert (got[k][0].spans, got[k][0].n_learned) == (f"{kind}:{at}:{at + len(number)}", 1), text[k]
+    assert [got[k][0].spans for k in (110, 111, 112)] == ["", "", ""]
+
+
 def test_scores_equal_matrices(spark):
     r = random.Random(22)
     edges = {(f"x{r.randint(0, 30)}", f"p{r.randint(0, 12)}") for _ in range(150)}

@@ -1,7 +1,8 @@
 """Personal data: patterns of form, and contexts learned from what they find.
 
 Base spans are found by form in the whole text. They are seeds: the words round a seed are lexical
-patterns, and everything that looks like an identifier is an instance of the patterns it stands in.
+patterns, and everything that looks like an identifier, in one word or in groups of digits, is an
+instance of the patterns it stands in.
 Scores run over the graph of patterns and instances: a pattern's score for a kind is the weight of
 its instances over their number, an instance's is the mean over its patterns; seeds keep weight 1.
 Patterns that end with a high score add the identifiers they stand round, whatever their form.
@@ -33,8 +34,12 @@ FORMS = {
 }
 #: A word with a digit or an at-sign: what may be an identifier.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Its core: without brackets and marks at its ends.
-CORE = r"[0-9A-Za-z+](?:[^\x20\x09-\x0D]*[0-9A-Za-z])?"
+#: Its core: without brackets and marks at its ends, but for the bracket of an area code.
+CORE = r"(?:\((?=[0-9]++\)[\x20-]?[0-9]))?[0-9A-Za-z+](?:[^\x09-\x0D]*[0-9A-Za-z])?"
+#: A word that a digit group may follow, and such a group; an IP address is neither.
+_QUAD = r"(?![^0-9]*[0-9]+\.[0-9]+\.[0-9]+\.[0-9])"
+OPENS = rf"^{_QUAD}(?:[^0-9@]*[^0-9@A-Za-z])?[0-9](?:[0-9().-]*[0-9)-])?$"
+GROUP = rf"^{_QUAD}\(?[0-9][0-9().-]*[^0-9@A-Za-z]*$"
 _WORD, _GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 #: Rounds of scoring, least score of a pattern that adds spans, least seeds it was seen with, and how
@@ -42,6 +47,8 @@ _WORD, _GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 ROUNDS, MIN_SCORE, MIN_SEEDS, SMOOTHING = 3, 0.8, 5, 1.0
 #: Digits that an identifier without at-sign has at least to be added; characters of context looked at.
 MIN_DIGITS, CONTEXT = 6, 120
+#: Digits of the longest identifier written in groups; a longer row of groups is a list of numbers.
+MAX_DIGITS = 19
 
 
 def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -87,28 +94,74 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return found.filter(_sound("kind", "found")).select("row_id", "row_text", "kind", "start", "end", "found")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(row_id, row_text, start, end, core, patterns): identifier-like words and the patterns round them.
+def _runs(words: DataFrame, base: DataFrame) -> DataFrame:
+    """words (start, end, found, before, after) and base spans, each with the run it belongs to.
 
-    The patterns are the two words before, and the word before with the word after; a text's edge or
-    another candidate counts as the word "|". The core is a word's part from its first to its last
-    letter or digit.
+    Words that one base span covers are a run, and else digit groups with a space, or a dash between
+    spaces, from one to the next, of MAX_DIGITS in all at most. A span lies in the run of the word it
+    starts in. In order of their places, spans after the word that starts with them, a text's running
+    values tell all of this.
+    """
+    text = ["row_id", "row_text"]
+    none = F.lit(None)
+    events = words.select(*text, "start", "end", "found", "before", "after", none.cast("string").alias("kind"), none.cast("string").alias("span")).unionByName(
+        base.select(*text, "start", "end", none.cast("string").alias("found"), none.cast("string").alias("before"),
+                    none.cast("string").alias("after"), "kind", F.col("found").alias("span")))
+    line = Window.partitionBy(*text).orderBy("start", F.col("kind").isNotNull())
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+    is_word = F.col("kind").isNull()
+    events = events.select(
+        "*",
+        F.last("found", True).over(earlier).alias("was"), F.last(F.when(is_word, F.col("start")), True).over(earlier).alias("was_at"),
+        F.max(F.when(~is_word, F.col("end"))).over(earlier).alias("reach"),
+        F.coalesce(F.lead("kind").over(line).isNotNull() & (F.lead("start").over(line) < F.col("end")), F.lit(False)).alias("has_span"),
+    )
+    covered = F.coalesce(F.col("was").isNotNull() & (F.col("reach") > F.col("start")), F.lit(False))
+    apart = ~F.col("has_span") & ~F.coalesce(F.col("reach") > F.col("was_at"), F.lit(False))
+    follows = apart & F.col("before").isin(" ", " - ") & F.col("was").rlike(OPENS) & F.col("found").rlike(GROUP)
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    digits = F.length(F.regexp_replace("found", "[^0-9]", ""))
+    events = events.withColumns({"c": covered, "f": F.coalesce(follows, F.lit(False))}).withColumns({
+        "tight": F.sum((is_word & ~F.col("c")).cast("long")).over(so_far),
+        "wide": F.sum((is_word & ~F.col("c") & ~F.col("f")).cast("long")).over(so_far),
+    })
+    total = F.sum(digits).over(Window.partitionBy(*text, "wide"))
+    return events.withColumn("run", F.when(total > MAX_DIGITS, -F.col("tight")).otherwise(F.col("wide")))
+
+
+def candidates(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """(row_id, row_text, start, end, core, kind, patterns): what may be identifiers, and the patterns round them.
+
+    A candidate is an identifier-like word or a run of digit groups. Base spans are candidates of
+    their kind with the whole span as core, one each; others have no kind, and their core is the
+    part from their first to their last letter or digit. The patterns are the two words before, and
+    the word before with the word after, outside the run; a text's edge or another candidate counts
+    as the word "|".
     """
     likely = rows.filter(F.col("body").rlike("[0-9@]"))
     words = _placed(_matches(likely, {"word": CANDIDATE}).dropDuplicates(["row_id", "row_text", "kind", "k"]))
-    before = F.lower(F.substring("piece", -CONTEXT, CONTEXT))
-    after = F.lower(F.substring("next", 1, CONTEXT))
-    last = F.regexp_extract(before, f"({_WORD}){_GAP}$", 1)
-    last_two = F.regexp_extract(before, f"({_WORD}{_GAP}{_WORD}){_GAP}$", 1)
-    first = F.regexp_extract(after, f"^{_GAP}({_WORD})", 1)
+    words = words.select("row_id", "row_text", "start", "end", "found", F.substring("piece", -CONTEXT, CONTEXT).alias("before"),
+                         F.substring("next", 1, CONTEXT).alias("after"))
+    is_word = F.col("kind").isNull()
+    parts = F.array_sort(F.collect_list(F.when(is_word, F.struct("start", "before", "found"))))
+    runs = _runs(words, base).groupBy("row_id", "row_text", "run").agg(
+        F.min(F.when(is_word, F.col("start"))).alias("start"), parts.alias("parts"),
+        F.max(F.when(is_word, F.struct("start", "after")))["after"].alias("after"),
+        F.collect_set(F.when(~is_word, F.struct("span", "kind"))).alias("spans"))
+    runs = runs.filter(F.size("parts") > 0).withColumns({
+        "before": F.lower(F.col("parts")[0]["before"]), "after": F.lower("after"),
+        "whole": F.array_join(F.transform("parts", lambda x, i: F.when(i == 0, x["found"]).otherwise(F.concat(x["before"], x["found"]))), "")})
+    last = F.regexp_extract("before", f"({_WORD}){_GAP}$", 1)
+    last_two = F.regexp_extract("before", f"({_WORD}{_GAP}{_WORD}){_GAP}$", 1)
+    first = F.regexp_extract("after", f"^{_GAP}({_WORD})", 1)
     named = lambda c: F.when(c == "", "|").otherwise(F.regexp_replace(c, _GAP, " "))
-    core = F.regexp_extract("found", CORE, 0)
-    shift = F.instr("found", core) - 1
-    rows = words.withColumn("core", core).filter("core <> ''").select(
-        "row_id", "row_text", (F.col("start") + shift).alias("start"), "core",
-        F.array(F.concat(named(last_two), F.lit(" _")), F.concat(named(last), F.lit(" _ "), named(first))).alias("patterns"),
-    )
-    return rows.withColumn("end", F.col("start") + F.length("core"))
+    core = F.regexp_extract("whole", CORE, 0)
+    runs = runs.select(
+        "row_id", "row_text", (F.col("start") + F.instr("whole", core) - 1).alias("start"), core.alias("own"), F.explode_outer("spans").alias("s"),
+        F.array(F.concat(named(last_two), F.lit(" _")), F.concat(named(last), F.lit(" _ "), named(first))).alias("patterns"))
+    out = runs.filter((F.col("own") != "") | F.col("s").isNotNull())
+    return out.select("row_id", "row_text", "start", (F.col("start") + F.length("own")).alias("end"),
+                      F.coalesce("s.span", "own").alias("core"), "s.kind", "patterns")
 
 
 def score_patterns(seen: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -137,20 +190,17 @@ def score_patterns(seen: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> D
 def learned_spans(rows: DataFrame, base: DataFrame, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(row_id, row_text, kind, start, end): identifiers in strong patterns that touch no base span."""
     place = ["row_id", "row_text", "start"]
-    words = stored(candidates(rows), "candidates")
-    seeds = words.join(base.select(*place, "kind"), place).select("core", "kind")
+    words = stored(candidates(rows, base), "candidates")
+    seeds = words.filter("kind is not null").select("core", "kind")
     seen = words.select("core", F.explode("patterns").alias("pattern"))
     strong = score_patterns(seen, seeds).filter((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds))
     strong = maybe_broadcast(stored(strong.select("pattern", "kind", "score"), "strong-patterns"))
     digits = F.length(F.regexp_replace("core", "[^0-9]", ""))
-    likely = F.col("core").contains("@") | (digits >= MIN_DIGITS)
+    likely = F.col("kind").isNull() & (F.col("core").contains("@") | (digits >= MIN_DIGITS))
     marked = words.filter(likely).select(*place, "end", F.explode("patterns").alias("pattern")).join(strong, "pattern")
     rank = F.when(F.col("kind") == KINDS[0], 4).when(F.col("kind") == KINDS[1], 3).when(F.col("kind") == KINDS[2], 2).otherwise(1)
     best = marked.groupBy(*place, "end").agg(F.max(F.struct("score", rank.alias("rank"), "kind")).alias("b"))
-    own = base.groupBy("row_id", "row_text").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    free = best.join(own, ["row_id", "row_text"], "left").filter(
-        F.expr("taken is null or not exists(taken, t -> t.start < end and start < t.end)"))
-    return free.select("row_id", "row_text", F.col("b.kind").alias("kind"), "start", "end")
+    return best.select("row_id", "row_text", F.col("b.kind").alias("kind"), "start", "end")
 
 
 def _listed(spans: str) -> Column:
