@@ -317,13 +317,18 @@ def leave_one_out(spark, sf):
     return models.leave_one_out(m, "country", sorted(r[0] for r in held.collect()), FEATURES)  # the countries of one pack
 
 
+#: Seeds of the seed study, at the default size, and (trees, depth) of the size grid.
+SEEDS = (1, 2, 3, 4, 5)
+GRID = ((50, 3), (100, 4), (200, 5), (400, 6), (800, 8))
+
+
 @query("e19_m09_seed_variance_and_size_grid")
 def seeds(spark, sf):
     m = model_matrix(spark, sf)
-    by_seed = models.seed_variance(m, FEATURES, [1, 2], models.Boost(3, 2)).select(
+    by_seed = models.seed_variance(m, FEATURES, list(SEEDS)).select(
         F.concat(F.lit("seed "), "seed").alias("run"), "auc", "recall"
     )
-    by_size = models.size_grid(m, FEATURES, [models.Boost(2, 2), models.Boost(4, 3)]).select(
+    by_size = models.size_grid(m, FEATURES, [models.Boost(trees, depth) for trees, depth in GRID]).select(
         F.concat_ws(" x ", "iterations", "depth").alias("run"), "auc", "recall"
     )
     return by_seed.unionByName(by_size)
