@@ -149,3 +149,44 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
 """
+
+CONVERSATION_TRIE = """
+WITH turns AS (
+  SELECT conv_id AS c, strlen(coalesce(text, '')) AS size, turn,
+         left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS d
+  FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) AS p FROM turns
+), crc AS (
+  SELECT c, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                               lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) % 9 AS h
+  FROM (SELECT DISTINCT c FROM turns)
+), chosen AS (
+  SELECT k.c, 0 AS part, b.p, b.d, b.size FROM crc k JOIN placed b ON b.c = k.c - k.c % 5 AND b.p <= k.h
+  UNION ALL
+  SELECT k.c, 1, o.p, o.d, o.size FROM crc k JOIN placed o ON o.c = k.c AND o.p > k.h
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY part, p) AS r FROM chosen
+), prefixes AS (
+  SELECT c, r, size, string_agg(d, '') OVER (PARTITION BY c ORDER BY r) AS key FROM ordered
+  UNION ALL SELECT c, 0, 0, '' FROM crc
+), lengths AS (
+  SELECT c, max(r) AS len FROM prefixes GROUP BY c
+), nodes AS (
+  SELECT key, any_value(r) AS depth, any_value(size) AS size, min(c) AS low, count(*) AS n,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE r = len), '')) AS ends
+  FROM prefixes JOIN lengths USING (c) GROUP BY key
+), kids AS (
+  SELECT left(key, 32 * (depth - 1)) AS key, count(*) AS kids FROM nodes WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT n.*, coalesce(k.kids, 0) AS kids FROM nodes n LEFT JOIN kids k USING (key)
+), owed AS (
+  SELECT left(key, 32 * k) AS key, sum((kids = 0)::BIGINT) AS leaves, sum((n - 1) * size) AS saved
+  FROM (SELECT *, unnest(range(depth + 1)) AS k FROM counted) GROUP BY ALL
+)
+SELECT x.low AS conv_id, x.depth::BIGINT AS depth, p.low AS parent_conv_id, x.n AS n_convs, x.kids AS n_children,
+       o.leaves::BIGINT AS n_leaves, o.saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM counted x JOIN owed o USING (key) LEFT JOIN nodes p ON x.depth > 0 AND p.key = left(x.key, 32 * (x.depth - 1))
+"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontam, idstore, licenses, lines, neardup, packing, pii, quality, urls, wordpiece
-from tidewatch.llm.oracles import DECONTAMINATION, LINE_DEDUP, NEAR_DEDUP, URL_FILTERS
+from tidewatch.llm import decontam, idstore, licenses, lines, neardup, packing, pii, prefixtrie, quality, urls, wordpiece
+from tidewatch.llm.oracles import CONVERSATION_TRIE, DECONTAMINATION, LINE_DEDUP, NEAR_DEDUP, URL_FILTERS
 from tidewatch.llm.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,11 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@_query("op11_conversation_prefix_trie", CONVERSATION_TRIE)
+def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run  # that module imports this package
