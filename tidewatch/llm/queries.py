@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontam, idstore, licenses, lines, neardup, packing, pii, prefixtrie, quality, urls, wordpiece
+from tidewatch.llm import decontam, idstore, licenses, lines, neardup, packing, pii, prefixtrie, quality, tokenalign, urls, wordpiece
 from tidewatch.llm.oracles import CONVERSATION_TRIE, DECONTAMINATION, LINE_DEDUP, NEAR_DEDUP, URL_FILTERS
 from tidewatch.llm.shared import scratch, table
 
@@ -100,6 +100,11 @@ def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+@_query("op13_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenalign.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run  # that module imports this package
