@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontam, idstore, licenses, lines, neardup, packing, pii, prefixtrie, quality, tokenalign, urls, wordpiece
+from tidewatch.llm import decontam, idstore, licenses, lines, neardup, packing, pii, prefixtrie, quality, simhash, tokenalign, urls, wordpiece
 from tidewatch.llm.oracles import CONVERSATION_TRIE, DECONTAMINATION, LINE_DEDUP, NEAR_DEDUP, URL_FILTERS
-from tidewatch.llm.shared import scratch, table
+from tidewatch.llm.shared import scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,6 +100,13 @@ def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+@_query("op12_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints beside those of the edited and the next text; n_near for every twentieth document, against all."""
+    prints = stored(simhash.compared_with_next(table(spark, sf_dir, "documents")), "simhash-prints")
+    return simhash.near_documents(prints)
+
+
 @_query("op13_tokenizer_alignment")
 def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenalign.align_tokenizers(table(spark, sf_dir, "documents"))
