@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -64,21 +65,62 @@ class Sides:
             bytes([int(p[1:-1], 16)]) if self.b.is_byte(k) else p.replace(SPACE, " ").encode()
             for k, p in ((k, self.b.id_to_piece(k)) for k in range(self.b.vocab_size()))
         ]
+        #: No piece joins two words, so words are encoded one by one.
+        self.splits = not any(SPACE in p[1:] and p.strip(SPACE) for p in map(self.b.id_to_piece, range(self.b.vocab_size())))
         self.a_size = np.array([len(t) for t in self.a_bytes], dtype=np.int64)
         self.b_size = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
         top = max(len(self.a_bytes), len(self.b_bytes))
         #: The decimal of id k with a mark behind it stands at k, k + top and k + 2 * top.
         self.top, self.names = top, [f"{k}{mark}" for mark in ",|;" for k in range(top)]
 
+    def _checked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """B's ids of all texts in a row and how many each has: 0 where they do not give it back byte by byte."""
+        found = self.b.encode(texts, num_threads=1)
+        flat = list(chain.from_iterable(found))
+        if b"".join(map(self.b_bytes.__getitem__, flat)) != "".join([" " + t for t in texts]).encode():
+            for k, text in enumerate(texts):
+                if b"".join(map(self.b_bytes.__getitem__, found[k])) != b" " + text.encode():
+                    found[k] = []
+            flat = list(chain.from_iterable(found))
+        return np.array(flat, dtype=np.int64), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        flat, size = self._checked(texts)
+        end = np.cumsum(size)
+        return [flat[i:j] for i, j in zip(end - size, end, strict=True)]
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
+        """The same for texts with single spaces between words only: each distinct word of them is encoded once."""
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        flat, size = self._checked(coded.dictionary.to_pylist())
+        start = np.cumsum(size) - size
+        word = np.asarray(coded.indices)
+        length = size[word]
+        end = np.concatenate(([0], np.cumsum(length)))
+        ids = flat[np.repeat(start[word] - end[:-1], length) + np.arange(end[-1])]
+        bounds = np.asarray(cut.offsets)
+        lost = np.add.reduceat(length == 0, bounds[:-1]) > 0
+        return [ids[end[i] : end[j]] if ok else ids[:0] for i, j, ok in zip(bounds[:-1], bounds[1:], ~lost, strict=True)]
+
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of each text by A and B, none for a text that either side does not give back byte by byte."""
-        a_ids = [self.a.encode_to_numpy(" " + t).astype(np.int64) if t else np.zeros(0, dtype=np.int64) for t in texts]
-        b_ids = self.b.encode(texts, num_threads=1)
+        """Ids of each text by A and B, none for a text that either side does not give back byte by byte.
+
+        A's tokens are pieces of the text's own bytes, so as many bytes are the same bytes.
+        """
+        none = np.zeros(0, dtype=np.int64)
+        a_ids = [self.a.encode_to_numpy(" " + t).astype(np.int64) if t else none for t in texts]
+        simple = [k for k, t in enumerate(texts) if self.splits and t and t[0] != " " and t[-1] != " " and "  " not in t and SPACE not in t]
+        odd = sorted(set(range(len(texts))) - set(simple))
+        b_ids = [none] * len(texts)
+        for chosen, encoded in ((simple, self._by_words), (odd, self._whole)):
+            if chosen:
+                for k, ids in zip(chosen, encoded([texts[k] for k in chosen]), strict=True):
+                    b_ids[k] = ids
         for k, text in enumerate(texts):
-            whole = b" " + text.encode()
-            if not (b"".join(map(self.b_bytes.__getitem__, b_ids[k])) == whole == b"".join(map(self.a_bytes.__getitem__, a_ids[k].tolist()))):
-                a_ids[k], b_ids[k] = a_ids[k][:0], []
-        return a_ids, [np.array(x, dtype=np.int64) for x in b_ids]
+            if not len(b_ids[k]) or self.a_size[a_ids[k]].sum() != len(text.encode()) + 1:
+                a_ids[k] = b_ids[k] = none
+        return a_ids, b_ids
 
 
 _SIDES: dict[tuple[str, str], Sides] = {}
@@ -109,16 +151,18 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((np.arange(len(a)), over_b[new])), np.concatenate((over_a, new))
 
 
-def _spelled(a: pd.DataFrame, b: pd.DataFrame, shared: np.ndarray, docs: int, both: Sides) -> list[str]:
-    """Each document's groups as `a1,a2|b1;a3|b2,b3`, by placing A's and B's ids of a group one behind the other."""
-    end_a, end_b = a["end"].to_numpy(), b["end"].to_numpy()
-    group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
-    upto_a = np.searchsorted(group_a, np.arange(len(shared)), side="right")  # tokens of A in groups up to this one
-    upto_b = np.searchsorted(group_b, np.arange(len(shared)), side="right")
+def _spelled(a: pd.DataFrame, b: pd.DataFrame, last_a: np.ndarray, last_b: np.ndarray, docs: int, both: Sides) -> list[str]:
+    """Each document's groups as `a1,a2|b1;a3|b2,b3`; last_a, last_b: the rows that end a group.
+
+    A's and B's ids of a group are placed one behind the other.
+    """
+    ends_a, ends_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+    ends_a[last_a] = ends_b[last_b] = 1
+    group_a, group_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
     code = np.empty(len(a) + len(b), dtype=np.int64)
-    before_b = np.concatenate(([0], upto_b))[group_a]
-    code[np.arange(len(a)) + before_b] = a["id"].to_numpy() + both.top * (end_a == shared[group_a])
-    code[np.arange(len(b)) + upto_a[group_b]] = b["id"].to_numpy() + 2 * both.top * (end_b == shared[group_b])
+    before_b = np.concatenate(([0], last_b + 1))[group_a]
+    code[np.arange(len(a)) + before_b] = a["id"].to_numpy() + both.top * ends_a
+    code[np.arange(len(b)) + (last_a + 1)[group_b]] = b["id"].to_numpy() + 2 * both.top * ends_b
     per_doc = np.bincount(a["doc"], minlength=docs) + np.bincount(b["doc"], minlength=docs)
     edges = np.concatenate(([0], np.cumsum(per_doc)))
     names = both.names
@@ -130,26 +174,22 @@ def align(texts: list[str], both: Sides) -> dict[str, list]:
     n = len(texts)
     a_ids, b_ids = both.encode(texts)
     a, b = _tokens(a_ids, both.a_size), _tokens(b_ids, both.b_size)
-    shared = np.intersect1d(a["end"], b["end"], assume_unique=True)
+    _, last_a, last_b = np.intersect1d(a["end"], b["end"], assume_unique=True, return_indices=True)
     link_a, link_b = overlaps(a, b)
     link_doc = a["doc"].to_numpy()[link_a]
     pair = a["id"].to_numpy()[link_a] * len(both.b_bytes) + b["id"].to_numpy()[link_b]
-    order = np.lexsort((pair, link_doc))
-    pair, doc = pair[order], link_doc[order]
-    head = np.ones(len(pair), dtype=bool)
-    head[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(head)
-    times = np.diff(np.append(first, len(pair)))
-    edges = np.concatenate(([0], np.cumsum(np.bincount(doc[first], minlength=n))))
-    # A shared end belongs to the document whose token of A ends there.
-    group_doc = a["doc"].to_numpy()[np.searchsorted(a["end"].to_numpy(), shared)]
+    # One number of the document and the pair, so that one sort puts equal links side by side.
+    bits = (len(both.a_bytes) * len(both.b_bytes)).bit_length()
+    cells, times = np.unique(link_doc << bits | pair, return_counts=True)
+    edges = np.concatenate(([0], np.cumsum(np.bincount(cells >> bits, minlength=n))))
     longs = pa.int64()
-    spelled = _spelled(a, b, shared, n, both)
+    spelled = _spelled(a, b, last_a, last_b, n, both)
     return {
         "n_a": pa.array([len(x) for x in a_ids], longs), "n_b": pa.array([len(x) for x in b_ids], longs),
-        "n_groups": pa.array(np.bincount(group_doc, minlength=n), longs), "n_links": pa.array(np.bincount(link_doc, minlength=n), longs),
+        "n_groups": pa.array(np.bincount(a["doc"].to_numpy()[last_a], minlength=n), longs),
+        "n_links": pa.array(np.bincount(link_doc, minlength=n), longs),
         "groups_sha256": pa.array([hashlib.sha256(s.encode()).hexdigest() if s else "" for s in spelled]),
-        "pairs": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(pair[first], longs)),
+        "pairs": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(cells & ((1 << bits) - 1), longs)),
         "times": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(times, longs)),
     }
 
