@@ -85,6 +85,26 @@ def freezes(
     return seen.withColumn("fires", fires).drop("__n", "__earlier")
 
 
+def freeze_episodes(
+    decisions: DataFrame, releases: DataFrame, hot: HotKeys | None = None, window: int = FREEZE_WINDOW
+) -> DataFrame:
+    """The decisions that freeze an account, where a release (account, released_at) arms it again.
+
+    A decision with enough HIGH ones in its window freezes unless the one before it did and no release
+    came since. At one instant decisions come before releases.
+    """
+    split = hot.split("account") if hot else None
+    marked = freezes(decisions, hot, window).drop("fires")
+    seen = running(
+        marked, ["account"], "t", {"__earlier": Agg("max", F.when(F.col("freezes"), F.col("t")))}, split,
+    )
+    armed = releases.select("account", F.col("released_at").alias("at"), F.col("released_at").alias("__armed"))
+    seen = sweep(seen, "account", "t", [], {"__armed": "max"}, [armed], split)
+    first_of_instant = F.min("tx_id").over(Window.partitionBy("account", "t")) == F.col("tx_id")
+    free = F.col("__earlier").isNull() | F.coalesce(F.col("__earlier") <= F.col("__armed"), F.lit(False))
+    return seen.withColumn("__fires", F.col("freezes") & free & first_of_instant).filter("__fires").select("account", "tx_id", "t")
+
+
 def frozen_since(decisions: DataFrame, frozen: DataFrame, split: Split | None = None) -> DataFrame:
     """Marks payments of an account that come after its freeze."""
     starts = frozen.filter("fires").select(

@@ -22,16 +22,16 @@ from tidewatch.streaming import flows, state
 DAY, HOUR, SECOND = tables.DAY, tables.HOUR, tables.SECOND
 
 
-def _p(spark, sf) -> DataFrame:
+def payments(spark, sf) -> DataFrame:
     return tables.payments(spark, sf)
 
 
-def _scratch(spark) -> str:
+def scratch(spark) -> str:
     """A folder of its own in the shared place, for one run."""
     return scratch_dir(spark, "tidewatch")
 
 
-_SPLIT = EPOCH + 15 * DAY
+SPLIT = EPOCH + 15 * DAY
 
 
 def _payments(p: DataFrame) -> DataFrame:
@@ -48,8 +48,8 @@ def _in_two_runs(spark, rows: DataFrame, at: str, cut_at: int, start) -> None:
         start(part)
 
 
-def _stateful(spark, rows: DataFrame, at: str, cut_at: int, make, schema: T.StructType) -> DataFrame:
-    base = _scratch(spark)
+def stateful(spark, rows: DataFrame, at: str, cut_at: int, make, schema: T.StructType) -> DataFrame:
+    base = scratch(spark)
 
     def run(part: DataFrame) -> None:
         part.write.mode("append").parquet(f"{base}/in")
@@ -104,8 +104,8 @@ UNION ALL SELECT 'payments', count(*), count(*), count(*), TRUE FROM payments"""
     ),
 )
 def release_manifest(spark, sf):
-    p = _p(spark, sf)
-    out = f"{_scratch(spark)}/release"
+    p = payments(spark, sf)
+    out = f"{scratch(spark)}/release"
     return release.export_release(
         {"payments": p.select("tx_id", "account", "t", "cents", "channel"), "labels": operations.label_events(p)}, out
     )
@@ -114,8 +114,8 @@ def release_manifest(spark, sf):
 @query("s10_checksums")
 def release_checksums(spark, sf):
     """Nothing has changed since the list was made; the files themselves are counted."""
-    out = f"{_scratch(spark)}/release"
-    p = _p(spark, sf)
+    out = f"{scratch(spark)}/release"
+    p = payments(spark, sf)
     release.export_release({"payments": p.select("tx_id", "account", "t", "cents", "channel")}, out)
     release.checksums(spark, f"{out}/parquet").write.parquet(f"{out}-list")
     listed = spark.read.parquet(f"{out}-list")
@@ -138,9 +138,9 @@ def release_checksums(spark, sf):
 )
 def month_partitions(spark, sf):
     """Written by month in two appends, and profiled by partition."""
-    base = f"{_scratch(spark)}/months"
-    p = _p(spark, sf).select(F.col("ts").alias("transaction_timestamp"), F.col("account").alias("account_id"), F.col("amount").alias("amount_rwf"), "t")
-    for part in (p.filter(F.col("t") < _SPLIT), p.filter(F.col("t") >= _SPLIT)):
+    base = f"{scratch(spark)}/months"
+    p = payments(spark, sf).select(F.col("ts").alias("transaction_timestamp"), F.col("account").alias("account_id"), F.col("amount").alias("amount_rwf"), "t")
+    for part in (p.filter(F.col("t") < SPLIT), p.filter(F.col("t") >= SPLIT)):
         history.write_month(part, base)
     schema = T.StructType([*p.schema.fields, T.StructField("month", T.StringType())])
     return rounded(history.profile(spark.read.schema(schema).parquet(base)).withColumn("mean_amount", F.col("mean_amount").cast("double")), "mean_amount", digits=4)
@@ -154,8 +154,8 @@ def month_partitions(spark, sf):
     ),
 )
 def feature_cache(spark, sf):
-    p = _p(spark, sf)
-    base = f"{_scratch(spark)}/features"
+    p = payments(spark, sf)
+    base = f"{scratch(spark)}/features"
     key = {"data": sf, "features": ["tx_count_1h"]}
     compute = lambda: ft.account_history(p, hot_keys(spark, sf, p)).select("tx_id", "tx_count_1h")
     release.feature_cache(spark, base, key, compute)
@@ -201,7 +201,7 @@ FROM (SELECT {_REASON} AS reason, cents FROM payments) GROUP BY 1""",
     ),
 )
 def envelope_routing(spark, sf):
-    parsed = topics.envelopes(_records(_p(spark, sf)), "payment.decided", 1, PAYLOAD)
+    parsed = topics.envelopes(_records(payments(spark, sf)), "payment.decided", 1, PAYLOAD)
     return parsed.groupBy("reason").agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("payload.cents"))), F.lit(0)).alias("cents"),
@@ -216,7 +216,7 @@ def envelope_routing(spark, sf):
     ),
 )
 def topic_records(spark, sf):
-    p = _p(spark, sf).withColumn("institution", operations.institution())
+    p = payments(spark, sf).withColumn("institution", operations.institution())
     made = topics.to_envelope(
         p, "payment.decided", F.col("account"), keys.derived_id(F.lit("event"), F.col("tx_id")), F.col("t"),
         F.col("institution"), ["tx_id", "cents"],
@@ -234,8 +234,8 @@ FROM (SELECT {_REASON} AS reason FROM payments)""",
 )
 def stream_routing(spark, sf):
     """The same records through a stream, split into two folders."""
-    base = _scratch(spark)
-    _records(_p(spark, sf)).select("value").repartition(4).write.text(f"{base}/in")
+    base = scratch(spark)
+    _records(payments(spark, sf)).select("value").repartition(4).write.text(f"{base}/in")
     stream = topics.read_files(spark, f"{base}/in", 2)
     flows.run_available(
         stream, flows.route("payment.decided", 1, PAYLOAD, f"{base}/split"), f"{base}/ckpt"
@@ -246,7 +246,7 @@ def stream_routing(spark, sf):
     return events.join(dead, "k").drop("k")
 
 
-def _letters(p: DataFrame) -> DataFrame:
+def letters(p: DataFrame) -> DataFrame:
     """Dead letters: payments of some ids died once or twice, for reasons that changed."""
     reason = F.when(F.col("k") % 3 == 0, "handler").when(F.col("k") % 3 == 1, "malformed").otherwise("parent_missing")
     first = F.struct(F.col("t").alias("dead_at"), reason.alias("reason"))
@@ -257,7 +257,7 @@ def _letters(p: DataFrame) -> DataFrame:
     ).select("event_id", F.col("event_id").cast("string").alias("value"), "c.*")
 
 
-_LETTERS = """letters AS (SELECT CASE WHEN k % 7 <> 0 THEN tx_id END AS event_id, t AS dead_at,
+LETTERS = """letters AS (SELECT CASE WHEN k % 7 <> 0 THEN tx_id END AS event_id, t AS dead_at,
     CASE k % 3 WHEN 0 THEN 'handler' WHEN 1 THEN 'malformed' ELSE 'parent_missing' END AS reason FROM payments WHERE k % 5 = 1
   UNION ALL SELECT CASE WHEN k % 7 <> 0 THEN tx_id END, t + 1000000, 'handler' FROM payments WHERE k % 5 = 1 AND k % 4 = 0)"""
 
@@ -268,11 +268,11 @@ _LETTERS = """letters AS (SELECT CASE WHEN k % 7 <> 0 THEN tx_id END AS event_id
         """SELECT event_id, reason, older_copies FROM (SELECT event_id, arg_max(reason, dead_at) AS reason, count(*) - 1 AS older_copies
   FROM letters WHERE event_id IS NOT NULL GROUP BY 1) WHERE reason IN ('handler', 'parent_missing')""",
         "payments",
-        then=_LETTERS,
+        then=LETTERS,
     ),
 )
 def dead_letter_replay(spark, sf):
-    out = topics.replay(_letters(_p(spark, sf)), ["handler", "parent_missing"])
+    out = topics.replay(letters(payments(spark, sf)), ["handler", "parent_missing"])
     return out.select("event_id", "reason", "older_copies")
 
 
@@ -322,7 +322,7 @@ _ERRORS = f"""bad AS (SELECT tx_id, CASE WHEN tx_id % 43 = 0 THEN ':malformed_js
     sql("SELECT tx_id, errors FROM bad", "payments", then=_ERRORS),
 )
 def request_validation(spark, sf):
-    checked = requests.validate(_bodies(_p(spark, sf)), F.lit(EPOCH + 25 * DAY))
+    checked = requests.validate(_bodies(payments(spark, sf)), F.lit(EPOCH + 25 * DAY))
     told = F.transform("errors", lambda e: F.concat_ws(":", e["field"], e["code"]))
     return checked.select("tx_id", F.concat_ws(",", told).alias("errors"))
 
@@ -363,7 +363,7 @@ FROM payments, range(3) r(n) WHERE n = 0 OR (n = 1 AND k % 3 = 0) OR (n = 2 AND
     ),
 )
 def idempotent(spark, sf):
-    sent = requests.parse(_submitted(_p(spark, sf)))
+    sent = requests.parse(_submitted(payments(spark, sf)))
     marked = sent.select("tx_id", "arrival", requests.fingerprint().alias("fingerprint"))
     return requests.admissions(marked).select("tx_id", "arrival", "outcome")
 
@@ -377,7 +377,7 @@ def idempotent(spark, sf):
     ),
 )
 def bulk(spark, sf):
-    items = _bodies(_p(spark, sf)).select(F.expr("tx_id div 500").alias("batch_id"), F.col("tx_id").alias("item"), "body")
+    items = _bodies(payments(spark, sf)).select(F.expr("tx_id div 500").alias("batch_id"), F.col("tx_id").alias("item"), "body")
     return requests.submit_batch(items, F.lit(EPOCH + 60 * DAY)).select("batch_id", "item", "outcome")
 
 
@@ -394,7 +394,7 @@ WHERE r = 1 AND tx_id NOT IN (SELECT tx_id FROM payments WHERE t < {EPOCH + 10 *
 )
 def first_write(spark, sf):
     """New label facts, where the first ten days are stored already."""
-    p = _p(spark, sf)
+    p = payments(spark, sf)
     existing = p.filter(F.col("t") < EPOCH + 10 * DAY).select("tx_id")
     facts = operations.label_events(p).select("tx_id", "label_id", "label")
     return release.new_facts(facts, existing, ["tx_id"], ["label_id"]).select("tx_id", "label")
@@ -411,7 +411,7 @@ def first_write(spark, sf):
     ),
 )
 def profile_upsert(spark, sf):
-    p = _p(spark, sf)
+    p = payments(spark, sf)
     null = F.lit(None).cast("long")
     seen = p.groupBy("account").agg(F.min("t").alias("first_seen")).withColumn("opened_at", null)
     opened = tables.profiles(spark, sf).select("account", null.alias("first_seen"), "opened_at")
@@ -426,18 +426,18 @@ def profile_upsert(spark, sf):
     ),
 )
 def report(spark, sf):
-    out = f"{_scratch(spark)}/report"
-    release.write_report(_p(spark, sf).groupBy(F.col("channel").alias("metric")).agg(F.count("*").alias("value")), out)
+    out = f"{scratch(spark)}/report"
+    release.write_report(payments(spark, sf).groupBy(F.col("channel").alias("metric")).agg(F.count("*").alias("value")), out)
     return spark.read.schema("metric string, value long").json(out)
 
 
 # ---- sinks of streams, stopped and started again with a new checkpoint over the stored data ---------------------
 
 
-def _restarted(spark, parts: list[DataFrame], read, batch) -> None:
+def restarted(spark, parts: list[DataFrame], read, batch) -> None:
     """Each part arrives in a folder of its own, and a new stream with a new checkpoint takes it up."""
     for part in parts:
-        base = _scratch(spark)
+        base = scratch(spark)
         part.write.parquet(f"{base}/in")
         flows.run_available(read(part, f"{base}/in"), batch, f"{base}/ckpt").awaitTermination()
 
@@ -457,14 +457,14 @@ def _files(spark):
 )
 def stream_ingest(spark, sf):
     """Requests and copies in a first run; other amounts and broken bodies in a second one."""
-    p, base = _p(spark, sf), _scratch(spark)
+    p, base = payments(spark, sf), scratch(spark)
     sent = _submitted(p)
     broken = p.filter("k % 5 = 0").select(F.concat(F.lit('{"transaction_id":'), F.col("tx_id")).alias("value"))
     parts = [
         sent.filter("arrival < 2").select(F.col("body").alias("value")),
         sent.filter("arrival = 2").select(F.col("body").alias("value")).unionByName(broken),
     ]
-    _restarted(spark, parts, _files(spark), flows.ingest_batches(EPOCH + 60 * DAY, base))
+    restarted(spark, parts, _files(spark), flows.ingest_batches(EPOCH + 60 * DAY, base))
     taken = spark.read.parquet(f"{base}/accepted").select(F.lit("accepted").alias("outcome"))
     refused = spark.read.parquet(f"{base}/refused").select("outcome")
     dead = spark.read.parquet(f"{base}/dead").select(F.lit("dead").alias("outcome"))
@@ -481,10 +481,10 @@ def stream_ingest(spark, sf):
 )
 def stream_facts(spark, sf):
     """Corrections arrive in a first run and the labels they correct in a second: what is stored first stays."""
-    base = _scratch(spark)
-    rows = operations.label_events(_p(spark, sf)).select("tx_id", "label_id", "label")
+    base = scratch(spark)
+    rows = operations.label_events(payments(spark, sf)).select("tx_id", "label_id", "label")
     first = F.col("label_id") % 2 == 1
-    _restarted(spark, [rows.filter(first), rows.filter(~first)], _files(spark), flows.fact_sink(base, ["tx_id"], ["label_id"], rows.schema))
+    restarted(spark, [rows.filter(first), rows.filter(~first)], _files(spark), flows.fact_sink(base, ["tx_id"], ["label_id"], rows.schema))
     return flows.stored(spark, base, rows.schema)
 
 
@@ -499,19 +499,19 @@ def stream_facts(spark, sf):
     ),
 )
 def stream_profiles(spark, sf):
-    base, p, null = _scratch(spark), _p(spark, sf), F.lit(None).cast("long")
+    base, p, null = scratch(spark), payments(spark, sf), F.lit(None).cast("long")
     seen = p.select("account", F.col("t").alias("first_seen"), null.alias("opened_at"))
     opened = tables.profiles(spark, sf).select("account", null.alias("first_seen"), "opened_at")
-    later = seen.filter(F.col("first_seen") >= _SPLIT)
-    _restarted(spark, [later, seen.filter(F.col("first_seen") < _SPLIT).unionByName(opened)], _files(spark), flows.profile_sink(base))
+    later = seen.filter(F.col("first_seen") >= SPLIT)
+    restarted(spark, [later, seen.filter(F.col("first_seen") < SPLIT).unionByName(opened)], _files(spark), flows.profile_sink(base))
     return flows.profiles(spark, base)
 
 
 @query("k13_stream_first_copies", sql("SELECT tx_id, t FROM payments", "payments"))
 def stream_first_copies(spark, sf):
     """Events delivered once to three times, and kept once."""
-    base = _scratch(spark)
-    rows = _payments(_p(spark, sf)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("tx_id") % 3))).drop("copy")
+    base = scratch(spark)
+    rows = _payments(payments(spark, sf)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("tx_id") % 3))).drop("copy")
     rows.write.parquet(f"{base}/in")
     kept = flows.first_copies(flows.payment_stream(spark, f"{base}/in", 1_000), "tx_id").select("tx_id", "t")
     flows.run_available(kept, flows.append_to(f"{base}/out"), f"{base}/ckpt").awaitTermination()
@@ -531,15 +531,15 @@ GROUP BY 1, 2 HAVING bucket + {15 * 60 * SECOND} <= (SELECT max(t) FROM payments
 )
 def stream_tumbling(spark, sf):
     """Windows the watermark has passed, each emitted once."""
-    base = _scratch(spark)
-    _payments(_p(spark, sf)).write.parquet(f"{base}/in")
+    base = scratch(spark)
+    _payments(payments(spark, sf)).write.parquet(f"{base}/in")
     stream = flows.payment_stream(spark, f"{base}/in", 1_000)
     schema = T.StructType.fromDDL("mcc string, bucket long, n long, total decimal(28,4)")
     totals = flows.tumbling(stream, ["mcc"], "15 minutes")
     flows.run_available(totals, flows.append_to(f"{base}/out"), f"{base}/ckpt").awaitTermination()
     out = flows.stored(spark, f"{base}/out", schema)
     # Windows the stream may or may not have closed at its end are judged by the same rule as the twin.
-    last = _p(spark, sf).agg((F.max("t") - 600 * SECOND).alias("w")).withColumn("k", F.lit(0))
+    last = payments(spark, sf).agg((F.max("t") - 600 * SECOND).alias("w")).withColumn("k", F.lit(0))
     kept = out.withColumn("k", F.lit(0)).join(F.broadcast(last), "k").filter(F.col("bucket") + 15 * 60 * SECOND <= F.col("w"))
     return kept.select("mcc", "bucket", "n", F.col("total").cast("double").alias("total"))
 
@@ -559,8 +559,8 @@ def stream_tumbling(spark, sf):
 def stream_velocity(spark, sf):
     """Keyed state over two runs in time order; every row is answered before it is stored."""
     make = lambda stream: state.keyed(stream, "account", state.AccountVelocity(), state.VELOCITY)
-    rows = _p(spark, sf).select("tx_id", "account", "t")
-    out = _stateful(spark, rows, "t", _SPLIT, make, state.VELOCITY)
+    rows = payments(spark, sf).select("tx_id", "account", "t")
+    out = stateful(spark, rows, "t", SPLIT, make, state.VELOCITY)
     return rounded(out.drop("account"), "seconds_since_last_tx")
 
 
@@ -575,8 +575,8 @@ def stream_velocity(spark, sf):
 def stream_freeze(spark, sf):
     """A window of a day, so that this data has freezes."""
     make = lambda stream: state.keyed(stream, "account", state.AccountFreeze(span=DAY), state.FREEZE)
-    rows = _p(spark, sf).filter("score >= 0.6").select("tx_id", "account", "t")
-    return _stateful(spark, rows, "t", _SPLIT, make, state.FREEZE)
+    rows = payments(spark, sf).filter("score >= 0.6").select("tx_id", "account", "t")
+    return stateful(spark, rows, "t", SPLIT, make, state.FREEZE)
 
 
 @query(
@@ -594,11 +594,11 @@ def stream_freeze(spark, sf):
 )
 def stream_breaker(spark, sf):
     """Minute totals per category arrive in two runs; a key gets one row per minute."""
-    minutes = _p(spark, sf).groupBy("mcc", F.expr("t div 60000000").alias("minute")).agg(
+    minutes = payments(spark, sf).groupBy("mcc", F.expr("t div 60000000").alias("minute")).agg(
         F.count("*").alias("n"), F.sum(F.col("is_fraud").cast("long")).alias("fraud")
     )
     make = lambda stream: state.keyed(stream, "mcc", state.MccBreaker(0.10, 60, 5, 120), state.BREAKER)
-    return _stateful(spark, minutes, "minute", _SPLIT // 60_000_000, make, state.BREAKER)
+    return stateful(spark, minutes, "minute", SPLIT // 60_000_000, make, state.BREAKER)
 
 
 _BUCKET = """calls AS (
@@ -618,8 +618,8 @@ _BUCKET = """calls AS (
 def rate_limit(spark, sf):
     """Which calls exceed an account's budget of one per half hour with a burst of two."""
     make = lambda stream: state.keyed(stream, "entity", state.TokenBucket(1 / 1800, 2.0), state.LIMITED)
-    rows = _p(spark, sf).select("tx_id", F.col("account").alias("entity"), "t")
-    return _stateful(spark, rows, "t", _SPLIT, make, state.LIMITED)
+    rows = payments(spark, sf).select("tx_id", F.col("account").alias("entity"), "t")
+    return stateful(spark, rows, "t", SPLIT, make, state.LIMITED)
 
 
 @query(
@@ -628,11 +628,11 @@ def rate_limit(spark, sf):
 )
 def parity(spark, sf):
     """Features of rows arriving in batches against the same features over the whole history."""
-    base = _scratch(spark)
+    base = scratch(spark)
     schema = T.StructType(
         [f for f in flows.PAYMENT.fields if f.name in ("tx_id", "account", "counterparty", "t", "amount")]
     )
-    p = _p(spark, sf)
+    p = payments(spark, sf)
     hot = hot_keys(spark, sf, p)
     exact = ["tx_count_60s", "tx_count_1h", "tx_count_24h", "tx_count_7d", "counterparty_is_new_for_account"]
     real = ["amount_sum_24h", "amount_sum_7d", "seconds_since_last_tx"]
@@ -651,7 +651,7 @@ def parity(spark, sf):
         stream = flows.payment_stream(spark, f"{base}/in", 1_000)
         flows.run_available(stream, batches, f"{base}/ckpt").awaitTermination()
 
-    _in_two_runs(spark, _payments(p), "t", _SPLIT, run)
+    _in_two_runs(spark, _payments(p), "t", SPLIT, run)
     streamed = spark.read.parquet(f"{base}/features").drop("batch")
     whole = features(p.select(*[f.name for f in schema.fields]))
     bad = quality.parity(whole, streamed, "tx_id", exact, real).agg(F.count("*").cast("int").alias("different"))
@@ -670,7 +670,7 @@ def parity(spark, sf):
 )
 def missing_feeds(spark, sf):
     """A third of the labels never came."""
-    p = _p(spark, sf).withColumn("label_at", F.when(F.col("k") % 3 != 0, F.col("label_at")))
+    p = payments(spark, sf).withColumn("label_at", F.when(F.col("k") % 3 != 0, F.col("label_at")))
     rows = p.withColumn("producer", operations.institution())
     return flows.missing_feeds(rows, EPOCH + 30 * DAY).select("producer", "payments", "overdue", "missing")
 
@@ -685,11 +685,11 @@ def missing_feeds(spark, sf):
 )
 def stream_labels(spark, sf):
     """Payments and labels as one stream, each at the time it becomes known."""
-    p = _p(spark, sf)
+    p = payments(spark, sf)
     paid = p.select("counterparty", F.lit("payment").alias("kind"), F.col("t").alias("at"), "t", "tx_id")
     told = p.filter("is_fraud").select("counterparty", F.lit("label").alias("kind"), F.col("label_at").alias("at"), "t", "tx_id")
     make = lambda stream: state.keyed(stream, "counterparty", state.CounterpartyLabels(90 * DAY), state.LABELLED)
-    return _stateful(spark, paid.unionByName(told), "at", _SPLIT, make, state.LABELLED).drop("counterparty")
+    return stateful(spark, paid.unionByName(told), "at", SPLIT, make, state.LABELLED).drop("counterparty")
 
 
 @query(
@@ -704,8 +704,8 @@ FROM states s WHERE seq = 1 AND decision = 'HOLD' AND NOT EXISTS (SELECT 1 FROM
 )
 def stream_hold_timeout(spark, sf):
     """Event-time timers: a hold nobody answered is settled once the watermark passes its deadline."""
-    base = _scratch(spark)
-    s = operations.decision_states(_p(spark, sf)).select("tx_id", "seq", "decision", "at").withColumn(
+    base = scratch(spark)
+    s = operations.decision_states(payments(spark, sf)).select("tx_id", "seq", "decision", "at").withColumn(
         "policy", F.when(F.col("tx_id") % 2 == 0, "RELEASE_WITH_TIMEOUT_LABEL").otherwise("DECLINE_AND_VERIFY")
     )
     s.write.parquet(f"{base}/in")
@@ -726,8 +726,8 @@ WHERE k % 5 <> 0 OR t < (SELECT max(t) FROM payments) - {3600 * SECOND}""",
 )
 def parent_wait(spark, sf):
     """Children wait five minutes for their parent; those without one come out when it has run out."""
-    base = _scratch(spark)
-    p = _p(spark, sf).select("tx_id", "t", "k")
+    base = scratch(spark)
+    p = payments(spark, sf).select("tx_id", "t", "k")
     p.write.parquet(f"{base}/children")
     p.filter("k % 5 <> 0").write.parquet(f"{base}/parents")
 
@@ -756,7 +756,7 @@ def sql_functions(spark, sf):
     from tidewatch.functions.sql import register
 
     register(spark)
-    tables.with_countries(_p(spark, sf), spark, sf).createOrReplaceTempView("tidewatch_located")
+    tables.with_countries(payments(spark, sf), spark, sf).createOrReplaceTempView("tidewatch_located")
     return spark.sql(
         "SELECT tx_id, geo_cell(lat, lon) AS cell, local_hour(t, utc_offset_hours) AS hour,"
         " round(haversine_km(lat, lon, 0D, 30D), 6) AS km FROM tidewatch_located"

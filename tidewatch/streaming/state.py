@@ -279,6 +279,12 @@ def keyed(
     )
 
 
+def read_back(spark, checkpoint: str, variable: str) -> DataFrame:
+    """(key, value, ...) of one state variable, as the last batch of a stream's checkpoint left it."""
+    enable(spark)
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable).load()
+
+
 LABELLED = T.StructType(
     [
         T.StructField("tx_id", T.LongType()),
