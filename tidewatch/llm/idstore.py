@@ -19,13 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import maybe_broadcast
+from tidewatch.llm.shared import arrow_rows, maybe_broadcast
 from tidewatch.llm.tokens import encoder
 
 #: The dictionary learns from about so many documents, chosen by a hash of the id, and so many bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 8_192, 64 * 1024
 BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
 LEVEL = 3
+#: Documents that go to a Python worker at once.
+BATCH_ROWS = 1_000
 
 BLOCK_SCHEMA = (
     "shard bigint, first_id bigint, last_id bigint, start bigint, n_tokens bigint, doc_ids array<bigint>,"
@@ -109,7 +111,8 @@ def write_ids(
             yield block()
 
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    with arrow_rows(spark, BATCH_ROWS):
+        ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +55,28 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(values)))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside gives Python workers so many rows at a time; a lazy result does not remember it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def worker_cache(name: str) -> dict:
+    """A dict that lives as long as its Python process.
+
+    Functions travel to workers by value, so each task gets a module of its own with empty globals: what a
+    global kept would be built anew in every task, and the old one linger until it is collected.
+    """
+    module = sys.modules.setdefault("_tidewatch_worker", ModuleType("_tidewatch_worker"))
+    return module.__dict__.setdefault(name, {})
+
+
 def fresh(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the given columns, under the operator's own names, so that others cannot clash."""
     return df.select(*[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
