@@ -1,11 +1,13 @@
 """Personal data: patterns of form, and contexts learned from what they find.
 
-Base spans are found by form in the whole text. They are seeds: the words round a seed are lexical
-patterns, and everything that looks like an identifier, in one word or in groups of digits, is an
-instance of the patterns it stands in.
-Scores run over the graph of patterns and instances: a pattern's score for a kind is the weight of
-its instances over their number, an instance's is the mean over its patterns; seeds keep weight 1.
-Patterns that end with a high score add the identifiers they stand round, whatever their form.
+Base spans are found by form in the whole text. They are seeds, and so are secrets: long values of
+many different characters behind an equals sign or colon. The words round a seed are lexical
+patterns, and everything that could be an identifier, in one word or in groups of digits, is an
+instance of the patterns it stands in; what is too short to be added is none.
+Scores run over the graph of patterns and instances: a pattern's score is the weight of its instances
+over their number, whatever their kind, an instance's is the mean over its patterns; seeds keep
+weight 1. Patterns that end with a high score add the identifiers they stand round, whatever their
+form. An added one has the kind that its own form tells, else the one most of its pattern's seeds have.
 
 Places come from the regular expression engine itself: the pieces that split() leaves between the
 matches, and the matches, lie in a row, so a running sum of their lengths gives every place.
@@ -32,6 +34,10 @@ FORMS = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+SECRET = "secret"
+#: A value behind an equals sign or colon, in quotes or not, that may be a secret; how many characters of it differ at least.
+SECRET_FORM = r"""(?<=[=:]\x20{0,3}["']{0,1})(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+"""
+SECRET_VARIETY = 10
 #: A word with a digit or an at-sign: what may be an identifier.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Its core: without brackets and marks at its ends, but for the bracket of an area code.
@@ -45,8 +51,8 @@ _WORD, _GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 #: Rounds of scoring, least score of a pattern that adds spans, least seeds it was seen with, and how
 #: many unseen instances of no kind are added to its own when its score is taken.
 ROUNDS, MIN_SCORE, MIN_SEEDS, SMOOTHING = 3, 0.8, 5, 1.0
-#: Digits that an identifier without at-sign has at least to be added; characters of context looked at.
-MIN_DIGITS, CONTEXT = 6, 120
+#: Digits that an identifier without at-sign has at least to be added.
+MIN_DIGITS = 6
 #: Digits of the longest identifier written in groups; a longer row of groups is a list of numbers.
 MAX_DIGITS = 19
 
@@ -94,6 +100,15 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return found.filter(_sound("kind", "found")).select("row_id", "row_text", "kind", "start", "end", "found")
 
 
+def secret_spans(rows: DataFrame) -> DataFrame:
+    """Assigned values that look random, as base_spans gives its own: letters, digits and many different characters."""
+    likely = rows.filter(F.col("body").rlike("[=:]"))
+    found = _placed(_matches(likely, {SECRET: SECRET_FORM}).dropDuplicates(["row_id", "row_text", "kind", "k"])).drop("piece", "next")
+    varied = F.size(F.array_distinct(F.split("found", ""))) >= SECRET_VARIETY
+    mixed = F.col("found").rlike("[0-9].*[0-9].*[0-9].*[0-9]") & F.col("found").rlike("[A-Za-z]")
+    return found.filter(varied & mixed).select("row_id", "row_text", "kind", "start", "end", "found")
+
+
 def _runs(words: DataFrame, base: DataFrame) -> DataFrame:
     """words (start, end, found, before, after) and base spans, each with the run it belongs to.
 
@@ -140,8 +155,10 @@ def candidates(rows: DataFrame, base: DataFrame) -> DataFrame:
     """
     likely = rows.filter(F.col("body").rlike("[0-9@]"))
     words = _placed(_matches(likely, {"word": CANDIDATE}).dropDuplicates(["row_id", "row_text", "kind", "k"]))
-    words = words.select("row_id", "row_text", "start", "end", "found", F.substring("piece", -CONTEXT, CONTEXT).alias("before"),
-                         F.substring("next", 1, CONTEXT).alias("after"))
+    # The last three words before and the first one behind, whole, however long they are.
+    before = F.reverse(F.regexp_extract(F.reverse("piece"), rf"^(?:{_GAP})?+(?:{_WORD}+(?:{_GAP})?+){{0,3}}", 0))
+    after = F.regexp_extract("next", rf"^(?:{_GAP})?+(?:{_WORD}+)?+", 0)
+    words = words.select("row_id", "row_text", "start", "end", "found", before.alias("before"), after.alias("after"))
     is_word = F.col("kind").isNull()
     parts = F.array_sort(F.collect_list(F.when(is_word, F.struct("start", "before", "found"))))
     runs = _runs(words, base).groupBy("row_id", "row_text", "run").agg(
@@ -187,20 +204,30 @@ def score_patterns(seen: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> D
     return scores
 
 
-def learned_spans(rows: DataFrame, base: DataFrame, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(row_id, row_text, kind, start, end): identifiers in strong patterns that touch no base span."""
+def _form_kind(core: str) -> Column:
+    """The kind that an added identifier's own form tells, or null."""
+    digits = F.length(F.regexp_replace(core, "[^0-9]", ""))
+    random = F.col(core).rlike("^[A-Za-z0-9+/_-]{16,}$") & F.col(core).rlike("[A-Za-z].*[A-Za-z].*[A-Za-z].*[A-Za-z]")
+    return F.when(F.col(core).contains("@"), "email").when(F.col(core).startswith("+") & (digits <= 15), "phone").when(random, SECRET)
+
+
+def learned_spans(rows: DataFrame, seeds: DataFrame, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """(row_id, row_text, kind, start, end): identifiers in strong patterns that touch no seed's span."""
     place = ["row_id", "row_text", "start"]
-    words = stored(candidates(rows, base), "candidates")
-    seeds = words.filter("kind is not null").select("core", "kind")
-    seen = words.select("core", F.explode("patterns").alias("pattern"))
-    strong = score_patterns(seen, seeds).filter((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds))
-    strong = maybe_broadcast(stored(strong.select("pattern", "kind", "score"), "strong-patterns"))
     digits = F.length(F.regexp_replace("core", "[^0-9]", ""))
-    likely = F.col("kind").isNull() & (F.col("core").contains("@") | (digits >= MIN_DIGITS))
-    marked = words.filter(likely).select(*place, "end", F.explode("patterns").alias("pattern")).join(strong, "pattern")
-    rank = F.when(F.col("kind") == KINDS[0], 4).when(F.col("kind") == KINDS[1], 3).when(F.col("kind") == KINDS[2], 2).otherwise(1)
-    best = marked.groupBy(*place, "end").agg(F.max(F.struct("score", rank.alias("rank"), "kind")).alias("b"))
-    return best.select("row_id", "row_text", F.col("b.kind").alias("kind"), "start", "end")
+    able = F.col("kind").isNotNull() | F.col("core").contains("@") | (digits >= MIN_DIGITS)
+    words = stored(candidates(rows, seeds).filter(able), "candidates")
+    known = words.filter("kind is not null").select("core", "kind")
+    # An edge of a text or a neighbouring identifier on both sides is no context.
+    seen = words.select("core", F.explode(F.filter("patterns", lambda p: p.rlike(r"[^|_\x20]"))).alias("pattern"))
+    scores = score_patterns(seen, known.select("core", F.lit("identifier").alias("kind")))
+    strong = stored(scores.filter((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds)).select("pattern", "score"), "strong-patterns")
+    held = seen.distinct().join(maybe_broadcast(strong), "pattern").join(known.distinct(), "core").groupBy("pattern", "score", "kind").agg(F.count(F.lit(1)).alias("n"))
+    usual = F.max_by("kind", F.struct("n", F.col("kind")))
+    strong = maybe_broadcast(stored(held.groupBy("pattern", "score").agg(usual.alias("usual")), "pattern-kinds"))
+    marked = words.filter(F.col("kind").isNull()).select(*place, "end", "core", F.explode("patterns").alias("pattern")).join(strong, "pattern")
+    best = marked.groupBy(*place, "end", "core").agg(F.max(F.struct("score", "usual")).alias("b"))
+    return best.select("row_id", "row_text", F.coalesce(_form_kind("core"), "b.usual").alias("kind"), "start", "end")
 
 
 def _listed(spans: str) -> Column:
@@ -209,28 +236,34 @@ def _listed(spans: str) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_learned for every row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_learned for every row of docs.
 
-    Counts and base_sha256 are over base spans, spans lists those and the learned ones, places in
-    code points. A null or empty text has none. Rows may share an id, each has its own text's spans;
+    Counts and base_sha256 are over base spans, spans lists those, secrets that touch none of them and
+    the learned ones, places in code points. n_secret counts the secrets that are seeds, n_learned what
+    the patterns added. A null or empty text has none. Rows may share an id, each has its own text's spans;
     null ids keep their rows; other columns are not read.
     """
     rows = _rows(docs, id_col, text)
     base = stored(base_spans(rows), "base-spans")
-    extra = learned_spans(rows, base).withColumn("learned", F.lit(True))
-    spans = base.drop("found").withColumn("learned", F.lit(False)).unionByName(extra)
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    overlap = (F.col("s.start") < F.col("b.end")) & (F.col("b.start") < F.col("s.end"))
+    same = (F.col("s.row_id") == F.col("b.row_id")) & (F.col("s.row_text") == F.col("b.row_text"))
+    secrets = stored(stored(secret_spans(rows), "secret-forms").alias("s").join(base.alias("b"), same & overlap, "left_anti"), "secrets")
+    extra = learned_spans(rows, base.unionByName(secrets)).withColumn("source", F.lit("learned"))
+    spans = base.drop("found").withColumn("source", F.lit("base")).unionByName(secrets.drop("found").withColumn("source", F.lit("secret"))).unionByName(extra)
+    order = F.array_position(F.array(*map(F.lit, [*KINDS, SECRET])), F.col("kind"))
     cell = F.struct("start", order.alias("order"), "end", "kind")
+    is_base = F.col("source") == "base"
+    counts = [f"n_{k}" for k in KINDS] + ["n_secret", "n_learned"]
     per = spans.groupBy("row_id", "row_text").agg(
-        *[F.sum((~F.col("learned") & (F.col("kind") == k)).cast("long")).alias(f"n_{k}") for k in KINDS],
-        F.sum(F.col("learned").cast("long")).alias("n_learned"),
-        F.collect_list(F.when(~F.col("learned"), cell)).alias("own"), F.collect_list(cell).alias("all"))
-    per = per.select("row_id", "row_text", *[f"n_{k}" for k in KINDS], "n_learned", _listed("own").alias("own"), _listed("all").alias("spans"))
+        *[F.sum((is_base & (F.col("kind") == k)).cast("long")).alias(f"n_{k}") for k in KINDS],
+        *[F.sum((F.col("source") == x).cast("long")).alias(f"n_{x}") for x in ("secret", "learned")],
+        F.collect_list(F.when(is_base, cell)).alias("own"), F.collect_list(cell).alias("all"))
+    per = per.select("row_id", "row_text", *counts, _listed("own").alias("own"), _listed("all").alias("spans"))
     out = rows.drop("body").join(per, ["row_id", "row_text"], "left")
     zero = F.lit(0).cast("long")
     return out.select(
         F.when(F.col("row_id") != -(2**63), F.col("row_id")).alias("doc_id"),
         *[F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in KINDS],
         F.sha2(F.coalesce("own", F.lit("")).cast("binary"), 256).alias("base_sha256"),
-        F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_learned", zero).alias("n_learned"),
+        F.coalesce("spans", F.lit("")).alias("spans"), *[F.coalesce(c, zero).alias(c) for c in ("n_secret", "n_learned")],
     )
