@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import encode, evaluate as ev
-from tidewatch.operators import features as ft
 from tidewatch.plans import operations, tables
-from tidewatch.plans.registry import micros
-from tidewatch.queries.features import hot_keys
+from tidewatch.plans.registry import trainable
+from tidewatch.queries.features import FEATURE_TABLE, hot_keys, stored_features
 from tidewatch.queries.registry import query
 from tidewatch.queries.views import EPOCH, sql
 
@@ -53,37 +52,22 @@ def auc(spark, sf):
     return rounded(ev.auc(_hist(spark, sf)), "auc")
 
 
-_SINGLE = ["tx_count_1h", "tx_count_24h", "tx_count_7d", "amount_sum_24h", "amount_log1p",
-           "seconds_since_last_tx", "velocity_ratio_1h_vs_30d"]
+_SINGLE = trainable()
 
 
 def _single_matrix(spark, sf):
-    p = tables.payments(spark, sf)
-    return ft.own_row(ft.account_history(p, hot_keys(spark, sf, p)))
-
-
-def _w(span):
-    return f"(PARTITION BY account ORDER BY t RANGE BETWEEN {micros(span) - 1} PRECEDING AND 1 PRECEDING)"
-
-
-_FEATURES = f"""feats AS (SELECT is_fraud, score, channel, cents, t,
-  CAST(count(*) OVER {_w("1h")} AS DOUBLE) AS tx_count_1h, CAST(count(*) OVER {_w("24h")} AS DOUBLE) AS tx_count_24h,
-  CAST(count(*) OVER {_w("7d")} AS DOUBLE) AS tx_count_7d,
-  CAST(coalesce(sum(amount) OVER {_w("24h")}, 0) AS DOUBLE) AS amount_sum_24h,
-  CAST(amount AS DOUBLE) AS amount_log1p,
-  (t - max(t) OVER (PARTITION BY account ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / 1e6::DOUBLE
-    AS seconds_since_last_tx,
-  (count(*) OVER {_w("1h")} + 1.0::DOUBLE) / (CASE WHEN least({micros("30d")}, t - min(t) OVER (PARTITION BY account))
-      / 3.6e9::DOUBLE - 1.0::DOUBLE > 0
-    THEN (count(*) OVER {_w("30d")} - count(*) OVER {_w("1h")}) / (least({micros("30d")}, t - min(t) OVER (PARTITION BY account))
-      / 3.6e9::DOUBLE - 1.0::DOUBLE) ELSE 0 END + 1.0::DOUBLE) AS velocity_ratio_1h_vs_30d
-  FROM payments),
-long AS (UNPIVOT (SELECT * EXCLUDE (score, channel, cents, t) FROM feats) ON {", ".join(_SINGLE)} INTO NAME name VALUE value),
+    return stored_features(spark, sf, ["is_fraud", "t"])
+
+
+_FEATURES = f"""{FEATURE_TABLE},
+singles AS (SELECT is_fraud, t, {", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in _SINGLE)} FROM feats),
+long AS (UNPIVOT (SELECT * EXCLUDE (t) FROM singles) ON {", ".join(_SINGLE)} INTO NAME name VALUE value),
 fh AS (SELECT name, value AS score, count(*) FILTER (WHERE is_fraud) AS pos, count(*) FILTER (WHERE NOT is_fraud) AS neg
   FROM long WHERE value IS NOT NULL GROUP BY 1, 2),
 fr AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY name ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb,
   sum(pos) OVER (PARTITION BY name) AS P, sum(neg) OVER (PARTITION BY name) AS N FROM fh),
-fa AS (SELECT name, CAST(max(P) AS BIGINT) AS pos, CAST(max(N) AS BIGINT) AS neg, {_AUC} AS auc FROM fr GROUP BY name)"""
+fa AS (SELECT name, CAST(max(P) AS BIGINT) AS pos, CAST(max(N) AS BIGINT) AS neg,
+  CASE WHEN max(P) * max(N) > 0 THEN {_AUC} END AS auc FROM fr GROUP BY name)"""
 _ERROR = """sqrt((auc * (1 - auc) + (pos - 1) * (auc / (2 - auc) - auc * auc)
   + (neg - 1) * (2 * auc * auc / (1 + auc) - auc * auc)) / (CAST(pos AS DOUBLE) * neg))"""
 
@@ -554,7 +538,7 @@ def psi(spark, sf):
         "payments",
         then=_FEATURES
         + f""",
-drift AS (UNPIVOT (SELECT * EXCLUDE (score, channel, cents, is_fraud) FROM feats) ON {", ".join(_SINGLE)} INTO NAME name VALUE value),
+drift AS (UNPIVOT (SELECT * EXCLUDE (is_fraud) FROM singles) ON {", ".join(_SINGLE)} INTO NAME name VALUE value),
 """
         + _psi_sql(
             f"SELECT name, value AS v, CASE WHEN t < {PLAN.validation} THEN 'e' ELSE 'a' END AS side FROM drift WHERE value IS NOT NULL",

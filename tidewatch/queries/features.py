@@ -12,6 +12,7 @@ from tidewatch.plans import tables
 from tidewatch.plans.registry import FEATURES, micros
 from tidewatch.queries.registry import query
 from tidewatch.queries.views import EPOCH, haversine, sql
+from tidewatch.session import scratch_dir
 
 KEYS = ["account", "counterparty", "device", "agent", "cell", "score"]
 _HOT: dict[str, HotKeys] = {}
@@ -504,6 +505,32 @@ def matrix(spark, sf, keep=None) -> DataFrame:
     )
 
 
+def stored_features(spark, sf, keep: list[str]) -> DataFrame:
+    """All features, reals at six places as their own queries give them, written once for several passes."""
+    m = matrix(spark, sf, keep=keep)
+    path = f"{scratch_dir(spark, 'features')}/rows"
+    m.select(*[F.round(c, 6).alias(c) if c in FEATURES and FEATURES[c].dtype == "double" else F.col(c) for c in m.columns]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+# Payments are a month long, so the dormancy of the day-clock history has its own window here.
+_TWINS = {n: text for n, (_, text) in _SPECS.items()} | {
+    "dormancy_reactivation_flag": sql(
+        f"SELECT tx_id, coalesce({_PREV} <= t - {micros('60d')}, FALSE) AS dormancy_reactivation_flag FROM payments", "payments"),
+}
+#: The twin of stored_features: each feature's own twin, side by side.
+FEATURE_TABLE = (
+    "feats AS MATERIALIZED (SELECT p.tx_id, p.is_fraud, p.t, " + ", ".join(f"f{i}.{n}" for i, n in enumerate(FEATURES)) + "\nFROM payments p\n"
+    + "\n".join(f"LEFT JOIN ({_TWINS[n]}) f{i} ON f{i}.tx_id = p.tx_id" for i, n in enumerate(FEATURES)) + ")"
+)
+
+
+@query("f45_all_features", sql("SELECT * EXCLUDE (is_fraud, t) FROM feats", "payments", then=FEATURE_TABLE))
+def all_features(spark, sf):
+    """Every feature of the vector at every payment, next to its own twin's value."""
+    return stored_features(spark, sf, [])
+
+
 @query(
     "f45_feature_vector",
     sql(

@@ -28,7 +28,7 @@ def _events(spark, sf, spec: history.Keyed) -> DataFrame:
     return history.events(p, p if spec.labels else None, spec)
 
 
-def _answers(spark, sf, spec: history.Keyed) -> DataFrame:
+def answers(spark, sf, spec: history.Keyed) -> DataFrame:
     """The processor's answers over two runs, the second of which takes up the state of the first."""
     make = lambda stream: state.keyed(stream, spec.key, history.KeyHistory(spec), spec.schema)
     return stateful(spark, _events(spark, sf, spec), "at", SPLIT, make, spec.schema)
@@ -71,7 +71,7 @@ WHERE {where}""",
 
 @query("k01_stream_account_features", _account_twin())
 def stream_account(spark, sf):
-    return account_features(_answers(spark, sf, history.ACCOUNT), payments(spark, sf))
+    return account_features(answers(spark, sf, history.ACCOUNT), payments(spark, sf))
 
 
 @query(
@@ -86,7 +86,7 @@ GROUP BY p.tx_id""",
 )
 def stream_counterparty(spark, sf):
     """Payments and labels as one stream, each at the time it becomes known."""
-    return _answers(spark, sf, history.COUNTERPARTY).select("tx_id", "counterparty_unique_senders_24h", "counterparty_confirmed_fraud_90d")
+    return answers(spark, sf, history.COUNTERPARTY).select("tx_id", "counterparty_unique_senders_24h", "counterparty_confirmed_fraud_90d")
 
 
 def _with_own(key: str, span: str) -> str:
@@ -103,7 +103,7 @@ def _with_own(key: str, span: str) -> str:
 )
 def stream_device(spark, sf):
     """The device's first sighting is a durable fact of its key."""
-    rows = _answers(spark, sf, history.DEVICE).join(payments(spark, sf).select("tx_id", "t"), "tx_id")
+    rows = answers(spark, sf, history.DEVICE).join(payments(spark, sf).select("tx_id", "t"), "tx_id")
     return rows.select("tx_id", "accounts_per_device_7d", F.round((F.col("t") - F.col("first_seen")) / float(DAY), 6).alias("device_age_days"))
 
 
@@ -116,7 +116,7 @@ def stream_device(spark, sf):
     ),
 )
 def stream_agent(spark, sf):
-    return _answers(spark, sf, history.AGENT).select("tx_id", "agent_cashout_count_1h", "agent_unique_customers_1h")
+    return answers(spark, sf, history.AGENT).select("tx_id", "agent_cashout_count_1h", "agent_unique_customers_1h")
 
 
 @query(
@@ -133,7 +133,7 @@ def stream_agent(spark, sf):
 def stream_cell(spark, sf):
     alpha, base = FEATURES["geo_cell_fraud_rate_30d"].alpha, prior(payments(spark, sf))
     rate = (F.col("fraud_30d") + F.lit(alpha * base)) / (F.col("labelled_30d") + F.lit(alpha))
-    return _answers(spark, sf, history.CELL).select("tx_id", F.round(rate, 6).alias("geo_cell_fraud_rate_30d"))
+    return answers(spark, sf, history.CELL).select("tx_id", F.round(rate, 6).alias("geo_cell_fraud_rate_30d"))
 
 
 # ---- durable restore -----------------------------------------------------------------------------------------

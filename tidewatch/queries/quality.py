@@ -287,20 +287,41 @@ def anomalies(spark, sf):
 
 @query("m07_m08_batch_scoring")
 def batch_scoring(spark, sf):
-    """Score, tier and the strongest contributions of every test payment."""
+    """Score, tier and the strongest contributions of every test payment, from the model that scored it."""
     from tidewatch.functions import reasons
     from tidewatch.operators.decide import tier
 
     m = model_matrix(spark, sf)
-    scored = models.fit_logistic(m, FEATURES).score(m.filter("segment = 'test'"))
-    explained = operations.contributions(_p(spark, sf)).select("tx_id", "contributions")
-    out = scored.join(explained, "tx_id")
+    model = models.fit_logistic(m, FEATURES)
+    out = models.linear_contributions(model, model.score(m.filter("segment = 'test'")), FEATURES)
     return out.select(
         "tx_id", "score", tier(F.col("score")).alias("tier"),
         F.concat_ws(",", F.transform(reasons.top(F.col("contributions")), lambda c: c["feature"])).alias("top"),
     )
 
 
+@query(
+    "m08_contributions_add_up",
+    sql(
+        f"""SELECT tx_id, {len(FEATURES)} AS features, TRUE AS additive, TRUE AS ranked FROM payments WHERE t >= {PLAN.test}""",
+        "payments",
+    ),
+)
+def contributions_add_up(spark, sf):
+    """Per test payment: base and contributions give the score's own logit within 1e-9, strongest first."""
+    from tidewatch.functions import reasons
+
+    m = model_matrix(spark, sf)
+    model = models.fit_logistic(m, FEATURES)
+    out = models.linear_contributions(model, model.score(m.filter("segment = 'test'")), FEATURES)
+    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["shap"])
+    top = reasons.top(F.col("contributions"))
+    order = F.forall(F.sequence(F.lit(1), F.size(top) - 1), lambda k: F.abs(F.element_at(top, k)["shap"]) >= F.abs(F.element_at(top, k + 1)["shap"]))
+    # The probability is compared where its logit would lose digits.
+    near = F.abs(F.lit(1.0) / (F.lit(1.0) + F.exp(-total)) - F.col("score")) <= 1e-9
+    return out.select("tx_id", F.size("contributions").alias("features"), near.alias("additive"), order.alias("ranked"))
+
+
 @query("e17_ablations")
 def ablation(spark, sf):
     m = model_matrix(spark, sf)
