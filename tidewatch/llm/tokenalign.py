@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import fresh, stored
+from tidewatch.llm.shared import fresh, stored, worker_cache
 from tidewatch.llm.tokens import SPELLING
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -123,14 +123,13 @@ class Sides:
         return a_ids, b_ids
 
 
-_SIDES: dict[tuple[str, str], Sides] = {}
-
-
 def sides(a_path: str | None, b_path: str | None) -> Sides:
+    """One pair of tokenizers a Python process and paths."""
     paths = (a_path or public_tokenizers.path(A_FILE), b_path or public_tokenizers.path(B_FILE))
-    if paths not in _SIDES:
-        _SIDES[paths] = Sides(*paths)
-    return _SIDES[paths]
+    known = worker_cache("sides")
+    if paths not in known:
+        known[paths] = Sides(*paths)
+    return known[paths]
 
 
 def _tokens(ids: list[np.ndarray], size: np.ndarray) -> pd.DataFrame:
