@@ -7,14 +7,17 @@ WITH cut AS (
   SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM cut
-), often AS (
-  SELECT l.source, trim(l.line, ' ') AS line
+), counted AS (
+  SELECT l.source, trim(l.line, ' ') AS line, count(DISTINCT rid) AS pages, min(doc_id) AS keeper, any_value(t.total) AS total,
+         len(regexp_extract_all(trim(l.line, ' '), '[^\\x20\\x09-\\x0D]+')) > 50 AS passage
   FROM lines l JOIN (SELECT source, count(*) AS total FROM documents GROUP BY source) t ON l.source = t.source
   WHERE trim(l.line, ' ') <> ''
-  GROUP BY l.source, trim(l.line, ' '), t.total
-  HAVING count(DISTINCT rid) >= 5 AND count(DISTINCT rid) > CAST(0.05 AS DOUBLE) * t.total
+  GROUP BY l.source, trim(l.line, ' ')
+), often AS (
+  SELECT source, line, CASE WHEN passage THEN keeper END AS keeper FROM counted
+  WHERE CASE WHEN passage THEN pages > 1 AND pages > CAST(0.001 AS DOUBLE) * total ELSE pages >= 5 AND pages > CAST(0.05 AS DOUBLE) * total END
 ), marked AS (
-  SELECT l.*, o.line IS NOT NULL AS bad
+  SELECT l.*, o.line IS NOT NULL AND (o.keeper IS NULL OR l.doc_id <> o.keeper) AS bad
   FROM lines l LEFT JOIN often o ON l.source = o.source AND trim(l.line, ' ') = o.line
 ), joined AS (
   SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_dropped,

@@ -32,15 +32,15 @@ def _query(name: str, sql: str | None = None):
 
 @_query("op1_line_dedup", LINE_DEDUP)
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that its source repeats."""
-    return lines.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    """Every document without the lines that its source repeats; a passage stays on its source's first page."""
+    out = lines.drop_lines(table(spark, sf_dir, "documents"), long_words=lines.LONG_WORDS)
+    return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
 @_query("op1_passage_dedup")
 def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that its source repeats; a passage stays on its source's first page."""
-    out = lines.drop_lines(table(spark, sf_dir, "documents"), long_words=lines.LONG_WORDS)
-    return out.select("doc_id", "text", "n_lines", "n_dropped")
+    """The same under the name it had when op1_line_dedup left passages where they were."""
+    return line_dedup(spark, sf_dir)
 
 
 @_query("op2_minhash_near_dedup", NEAR_DEDUP)
