@@ -23,14 +23,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; n_chars counts what is left."""
-    return lines.drop_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Documents without their source's boilerplate lines and copied passages; n_chars counts what is left."""
+    return lines.drop_lines(docs, long_words=lines.LONG_WORDS).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    out = neardup.near_duplicates(docs, width=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(maybe_broadcast(stored(out, "copies")), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each near-duplicate group, the one with the smallest id; without an id it comes last.
+
+    Rows are told apart by a number of their own, so repeated rows and rows without an id are
+    documents like any other. Each row is numbered by its place in the files of the stage before.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    out = neardup.near_duplicates(rows, id_col="_row", width=5, percent=80).filter("n_shingles > 0").select(
+        F.col("doc_id").alias("_row"), "component_id")
+    several = out.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    groups = stored(out.join(several, "component_id", "left_semi"), "groups")
+    placed = groups.join(rows.select("_row", "doc_id"), "_row").select("_row", "component_id", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("place"))
+    copies = placed.join(placed.groupBy("component_id").agg(F.min("place").alias("first")), "component_id").filter(F.col("place") != F.col("first"))
+    return rows.join(maybe_broadcast(stored(copies.select("_row"), "copies")), "_row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
