@@ -1,11 +1,11 @@
 """Every stage of the pipeline on its own input, against the plain versions of its operator."""
 
 import corpus_pipeline
-from tidewatch.llm import packing
+from tidewatch.llm import lines, packing
 from tidewatch.llm.shared import stored, table
 
 from test_decontam import brute as plain_decontamination
-from test_lines import brute as plain_lines
+from test_lines import plain_passages
 from test_neardup import brute as plain_components
 from test_quality import plain as plain_statistics
 
@@ -36,7 +36,7 @@ def test_each_stage_on_its_input(spark, sf):
 
     less = stored(steps["line dedup"](spark, kept, sf), "t")
     assert less.columns == docs.columns
-    want = plain_lines(read(kept), 0.05, 5)
+    want = plain_passages(read(kept), lines.LONG_WORDS, lines.LONG_RATIO)
     assert sorted((d, t) for d, t, _ in read(less)) == sorted((d, t) for d, t, _, _ in want)
     assert all(r.n_chars == len(r.text) for r in less.collect())
 
@@ -54,3 +54,18 @@ def test_each_stage_on_its_input(spark, sf):
     whole = corpus_pipeline.run(spark, sf)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert sorted(tuple(p[c] for c in columns) for p in whole.select(*columns).collect()) == sorted(tuple(p[c] for c in columns) for p in pieces)
+
+
+def test_repeated_rows_and_rows_without_an_id_leave_one_document(spark, sf, docs_of, tmp_path):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (1, text), (None, text), (None, text + " more"), (2, text), (3, "another " * 7), (None, "alone here " * 9), (4, ""), (5, ""), (4, None)]
+    docs_of(rows).write.parquet(str(tmp_path / "docs"))
+    out = corpus_pipeline.near_dedup(spark, spark.read.parquet(str(tmp_path / "docs")), sf)
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(1, text), (3, "another " * 7), (0, "alone here " * 9), (4, ""), (5, ""), (4, "")])
+
+
+def test_stages_on_empty_tables(spark, sf, docs_of):
+    docs = docs_of([]).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0
