@@ -468,18 +468,18 @@ def feature_matrix(
     """All features of every payment, in contract order, next to ``tx_id`` and ``keep``."""
     from tidewatch.operators.quantiles import amount_and_home
 
-    def stage(df: DataFrame) -> DataFrame:
+    def stage(df: DataFrame, key: str) -> DataFrame:
         # A split stage reads its input twice, once for the bucket totals: end the lineage first.
-        return cut(df) if hot else df
+        return cut(df) if hot and hot.split(key) else df
 
     rows = round_sum(corridors(own_row(p), countries), countries)
-    rows = novelty(account_history(stage(rows), hot), hot)
+    rows = novelty(account_history(stage(rows, "account"), hot), hot)
     rows = agent_pairs(rows, hot)
-    rows = account_sweep(stage(rows), hot, tiers, swaps, profiles)
-    rows = counterparty_sweep(stage(rows), hot, profiles)
-    rows = device_sweep(stage(rows), hot)
-    rows = agent_sweep(stage(rows), hot, standings)
-    rows = cell_sweep(stage(rows), prior, hot)
+    rows = account_sweep(stage(rows, "account"), hot, tiers, swaps, profiles)
+    rows = counterparty_sweep(stage(rows, "counterparty"), hot, profiles)
+    rows = device_sweep(stage(rows, "device"), hot)
+    rows = agent_sweep(stage(rows, "agent"), hot, standings)
+    rows = cell_sweep(stage(rows, "cell"), prior, hot)
     rows = just_below_limit(synthetic_identity(rows), limits)
     rows = rows.join(amount_and_home(p, hot), "tx_id", "left")
     rows = rows.withColumn("channel", declared_channel(F.col("channel")))

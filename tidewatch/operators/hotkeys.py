@@ -18,8 +18,8 @@ HOUR = 3_600_000_000
 MIN_ROWS = 1_000_000
 #: The search looks at one row in this many.
 ONE_IN = 64
-#: At most this many keys are listed. A key that is not among the MAX_KEYS largest holds less than
-#: one part in MAX_KEYS of all rows, so leaving it whole cannot create a straggler.
+#: At most this many keys are listed, the largest ones. One that is not among them stays whole, in one
+#: task, and holds less than one part in MAX_KEYS of all rows.
 MAX_KEYS = 5_000
 
 

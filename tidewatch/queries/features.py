@@ -15,14 +15,15 @@ from tidewatch.queries.views import EPOCH, haversine, sql
 from tidewatch.session import scratch_dir
 
 KEYS = ["account", "counterparty", "device", "agent", "cell", "score"]
-_HOT: dict[str, HotKeys] = {}
+_HOT: dict[tuple[str, ...], HotKeys] = {}
 
 
 def hot_keys(spark, sf_dir: str, p: DataFrame) -> HotKeys:
-    """Found once per data set: a layout hint, read from a hash sample."""
-    if sf_dir not in _HOT:
-        _HOT[sf_dir] = find_hot_keys(p, KEYS, "tx_id")
-    return _HOT[sf_dir]
+    """Found once for the files that the rows come from: a layout hint, read from a hash sample."""
+    files = tuple(sorted(p.inputFiles()))
+    if files not in _HOT:
+        _HOT[files] = find_hot_keys(p, KEYS, "tx_id")
+    return _HOT[files]
 
 
 def _out(df: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from tidewatch.operators import features as ft
 from tidewatch.operators import models, quality as q
 from tidewatch.plans import operations, registry, tables
 from tidewatch.queries.evaluation import PLAN, rounded
-from tidewatch.queries.features import hot_keys, matrix
+from tidewatch.queries.features import FEATURE_TABLE, hot_keys, matrix, stored_features
 from tidewatch.queries.registry import query
 from tidewatch.queries.summaries import MIX
 from tidewatch.queries.views import EPOCH, sql
@@ -161,7 +161,9 @@ UNION ALL SELECT 'channel mix', max(d) <= 0.5, round(max(d), 6), 'within 0.5 pp'
   LEFT JOIN (SELECT channel, count(*) AS n FROM payments GROUP BY 1) USING (channel))
 UNION ALL SELECT 'size', count(*) >= 5000000, CAST(count(*) AS DOUBLE), '>= 5000000' FROM payments
 UNION ALL SELECT 'label before its payment', count(*) FILTER (WHERE label_at < t) = 0, CAST(count(*) FILTER (WHERE label_at < t) AS DOUBLE), 'none' FROM payments
-UNION ALL SELECT 'null signatures per channel', TRUE, 0, 'every fraud pattern also legitimate'""",
+UNION ALL SELECT 'null signatures per channel', count(*) = 0, CAST(count(*) AS DOUBLE), 'every fraud pattern also legitimate' FROM (
+  SELECT DISTINCT channel, device IS NULL AS d, agent IS NULL AS a FROM payments WHERE is_fraud
+  EXCEPT SELECT channel, device IS NULL, agent IS NULL FROM payments WHERE NOT is_fraud)""",
         "payments",
     ),
 )
@@ -186,10 +188,24 @@ def early(spark, sf):
     return q.early_labels(_p(spark, sf).withColumn("label_at", F.col("label_at") - 3_600_000_000))
 
 
+def _together_sql(group: str, nulls: str, size: int, rows: str) -> str:
+    return f"""SELECT '{group} features missing together' AS check_name, count(*) FILTER (WHERE {nulls} BETWEEN 1 AND {size - 1}) = 0 AS passed,
+  CAST(count(*) FILTER (WHERE {nulls} BETWEEN 1 AND {size - 1}) AS DOUBLE) AS value, 'all or none' AS requirement FROM {rows}"""
+
+
+def _nulls(names) -> str:
+    return "(" + " + ".join(f"CAST({n} IS NULL AS INTEGER)" for n in names) + ")"
+
+
 @query(
     "q15_missing_together",
     sql(
-        "SELECT name || ' features missing together' AS check_name, TRUE AS passed, CAST(0 AS DOUBLE) AS value, 'all or none' AS requirement FROM (VALUES ('device'), ('agent')) v(name)"
+        _together_sql("device", _nulls(registry.DEVICE_FEATURES), 4, "feats") + " UNION ALL "
+        + _together_sql("agent", "(2 * CAST(p.agent IS NULL AS INTEGER) + 2 * CAST(s.agent IS NULL AS INTEGER))", 4,
+                        "payments p LEFT JOIN (SELECT DISTINCT agent FROM standings) s ON s.agent = p.agent"),
+        "payments",
+        "standings",
+        then=FEATURE_TABLE,
     ),
 )
 def missing_together(spark, sf):
@@ -201,6 +217,19 @@ def missing_together(spark, sf):
     return q.missing_together(rows)
 
 
+@query(
+    "q15_partly_missing",
+    sql(
+        _together_sql("device", _nulls(registry.DEVICE_FEATURES), 4, "feats") + " UNION ALL " + _together_sql("agent", _nulls(registry.AGENT_FEATURES), 4, "feats"),
+        "payments",
+        then=FEATURE_TABLE,
+    ),
+)
+def partly_missing(spark, sf):
+    """Where an agent's standing begins later than its payments, two of its features are missing and two are not."""
+    return q.missing_together(stored_features(spark, sf, []))
+
+
 def _complete_standings(spark, sf) -> DataFrame:
     """Standings that are in force from the start, so that only agentless rows lack them."""
     return tables.standings(spark, sf).withColumn("effective_at", F.lit(EPOCH - DAY) + F.col("version"))

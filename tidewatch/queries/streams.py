@@ -743,6 +743,57 @@ def parent_wait(spark, sf):
     return kept.select("tx_id", "has_parent")
 
 
+@query(
+    "s06_packs_from_json",
+    sql(
+        """SELECT left(country, 2) || CAST(country_key AS VARCHAR) AS alpha2, continent, bloc AS blocs, utc_offset_hours, currency, 2 AS currency_minor_units,
+  d1 || ',' || d2 || ',0' AS round_denominations FROM countries""",
+        "countries",
+    ),
+)
+def packs_from_json(spark, sf):
+    """The countries as JSON packs, one object a country, read back by the packs' contract."""
+    base = scratch(spark)
+    rows = tables.countries(spark, sf).select(
+        F.concat(F.substring("country", 1, 2), F.col("country_key").cast("string")).alias("alpha2"), "continent", "blocs", "utc_offset_hours", "currency",
+        F.col("minor_units").alias("currency_minor_units"), F.col("denominations").alias("round_denominations"))
+    rows.write.json(f"{base}/packs")
+    out = history.load_packs(spark, f"{base}/packs", one_per_line=True)
+    return out.select(
+        "alpha2", "continent", F.array_join("blocs", ",").alias("blocs"), "utc_offset_hours", "currency", "currency_minor_units",
+        F.array_join(F.col("round_denominations").cast("array<string>"), ",").alias("round_denominations"))
+
+
+@query(
+    "v01_rate_fold_and_corridor_functions",
+    sql(
+        """SELECT account, fold, corridor, n, fraud, round(CASE WHEN lo < 0 THEN 0 ELSE lo END, 6) AS lower, round(CASE WHEN hi > 1 THEN 1 ELSE hi END, 6) AS upper FROM (
+  SELECT account, n, fraud, corridor, CAST(list_reduce(list_prepend(0, list_transform(string_split(CAST(account AS VARCHAR), ''), lambda c: ascii(c))),
+      lambda a, b: CAST((CAST(a AS BIGINT) * 131 + b) % 2147483647 AS BIGINT)) % 5 AS INTEGER) AS fold,
+    ((fraud / n + 3.8416::DOUBLE / (2 * n)) - 1.96::DOUBLE * sqrt(fraud / n * (1 - fraud / n) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n) AS lo,
+    ((fraud / n + 3.8416::DOUBLE / (2 * n)) + 1.96::DOUBLE * sqrt(fraud / n * (1 - fraud / n) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n) AS hi
+  FROM (SELECT l.account, CASE WHEN h.country = a.country THEN 'DOMESTIC' WHEN h.bloc = a.bloc THEN 'INTRA_BLOC'
+      WHEN h.continent = a.continent THEN 'CROSS_BLOC_AFRICA' ELSE 'INTERCONTINENTAL' END AS corridor,
+      CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE is_fraud) AS DOUBLE) AS fraud
+    FROM located l JOIN countries h ON h.country = l.country JOIN countries a ON a.country = l.counterparty_country GROUP BY 1, 2))""",
+        "located",
+    ),
+)
+def rate_functions(spark, sf):
+    """Fraud rates with their interval by account and corridor, in SQL text that calls the functions."""
+    from tidewatch.functions.sql import register
+
+    register(spark)
+    tables.with_countries(payments(spark, sf), spark, sf).createOrReplaceTempView("tidewatch_placed")
+    tables.countries(spark, sf).createOrReplaceTempView("tidewatch_countries")
+    return spark.sql(
+        """SELECT account, fold_of(cast(account AS STRING), 5) AS fold, corridor, n, fraud, round(wilson_lower(fraud, n), 6) AS lower, round(wilson_upper(fraud, n), 6) AS upper
+FROM (SELECT account, corridor_class(h.country, h.blocs, h.continent, a.country, a.blocs, a.continent) AS corridor,
+    cast(count(*) AS DOUBLE) AS n, cast(sum(cast(is_fraud AS INT)) AS DOUBLE) AS fraud
+  FROM tidewatch_placed p JOIN tidewatch_countries h ON h.country = p.country JOIN tidewatch_countries a ON a.country = p.counterparty_country GROUP BY 1, 2)"""
+    )
+
+
 @query(
     "v01_sql_functions",
     sql(

@@ -13,6 +13,7 @@ from tidewatch.operators.order import quantiles
 from tidewatch.plans import operations, tables
 from tidewatch.plans.registry import trainable
 from tidewatch.queries.evaluation import PLAN, rounded
+from tidewatch.queries.features import FEATURE_TABLE
 from tidewatch.queries.registry import query
 from tidewatch.queries.views import EPOCH, haversine, sql
 
@@ -243,6 +244,23 @@ def unmatched(spark, sf):
     return ag.unmatched_signatures(_p(spark, sf), ["device", "agent"])
 
 
+_STRIPPED = "CASE WHEN is_fraud AND k % 10 = 0 THEN NULL ELSE device END"
+
+
+@query(
+    "u02_q11_planted_signature",
+    sql(
+        f"""SELECT DISTINCT channel, {_STRIPPED} IS NULL AS device_null, agent IS NULL AS agent_null FROM payments WHERE is_fraud
+EXCEPT SELECT channel, {_STRIPPED} IS NULL, agent IS NULL FROM payments WHERE NOT is_fraud""",
+        "payments",
+    ),
+)
+def planted_signature(spark, sf):
+    """Some fraud loses its device, which legitimate rows of its channel never do."""
+    p = _p(spark, sf).withColumn("device", F.when(~(F.col("is_fraud") & (F.col("k") % 10 == 0)), F.col("device")))
+    return ag.unmatched_signatures(p, ["device", "agent"])
+
+
 @query(
     "a20_fraud_type_rollup",
     sql(
@@ -528,7 +546,14 @@ def currency_country(spark, sf):
     return ag.attach_country(p, tables.countries(spark, sf)).select("tx_id", "country")
 
 
-@query("u05_p06_feature_columns")
+@query(
+    "u05_p06_feature_columns",
+    sql(
+        " UNION ALL ".join(f"SELECT {i} AS position, '{n}' AS name, count({n}) AS present FROM feats" for i, n in enumerate(trainable())),
+        "payments",
+        then=FEATURE_TABLE,
+    ),
+)
 def feature_columns(spark, sf):
     """The trainable columns of the matrix in contract order, with each one's non-missing rows."""
     from tidewatch.queries.features import matrix

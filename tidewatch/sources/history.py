@@ -106,9 +106,9 @@ PACK = T.StructType(
 )
 
 
-def load_packs(spark: SparkSession, path: str) -> DataFrame:
-    """Country packs from JSON; two packs that share a currency are an error, not a choice."""
-    packs = spark.read.schema(PACK).option("multiLine", True).json(path)
+def load_packs(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Country packs from JSON, a file each or a line each; two that share a currency are an error, not a choice."""
+    packs = spark.read.schema(PACK).option("multiLine", not one_per_line).json(path)
     sharing = F.count("*").over(Window.partitionBy("currency"))
     conflict = F.raise_error(F.concat(F.lit("packs share the currency "), F.col("currency")))
     return packs.withColumn("__n", sharing).withColumn(
