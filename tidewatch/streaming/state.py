@@ -1,9 +1,9 @@
 """Keyed state over a stream: velocity with labels, freezes, breakers, hold timers, rate limits.
 
 A key's rows of one micro-batch are sorted by (t, id) first, and rows of one instant are answered
-before any of them is stored, so no row sees itself or a simultaneous one. State is trimmed to the
-longest window when it is read. With a time to live, which needs processing time and so a stream
-that keeps running, the state of a quiet key expires by itself.
+before any of them is stored, so no row sees itself or a simultaneous one. Windows are timelines:
+sorted times in buckets with running sums, trimmed to the longest window. With a time to live, which
+needs processing time and so a stream that keeps running, the state of a quiet key expires by itself.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidewatch.streaming.timeline import Timeline
+
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
@@ -34,6 +36,19 @@ def _rows(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
 
 
+def _sorted(frames: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
+    """One key's rows of one micro-batch, whose size the source's limits bound, in order of the columns."""
+    return sorted(r for frame in frames for r in frame[columns].itertuples(index=False, name=None))
+
+
+def _timeline(handle: StatefulProcessorHandle, name: str, ttl_ms: int | None = None) -> tuple:
+    """The two states of a Timeline."""
+    return (
+        handle.getMapState(f"{name}_buckets", "bucket long", "data binary", ttlDurationMs=ttl_ms),
+        handle.getValueState(f"{name}_index", "data binary", ttlDurationMs=ttl_ms),
+    )
+
+
 def _frame(rows: list[tuple], schema: T.StructType) -> Iterator[pd.DataFrame]:
     """One frame of output, or none at all when there is nothing to say."""
     if rows:
@@ -56,7 +71,7 @@ _SPANS = (MINUTE, HOUR, DAY, 7 * DAY)
 
 
 class AccountVelocity(StatefulProcessor):
-    """Compute, then observe. Minutes are kept exactly as arrival times, trimmed to seven days.
+    """Compute, then observe, over arrival times trimmed to seven days.
 
     First and last sighting are durable: they come from the initial state when there is one and are
     never guessed from what the window still holds.
@@ -66,7 +81,7 @@ class AccountVelocity(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "t long", ttlDurationMs=self.ttl_ms)
+        self.times = _timeline(handle, "times", self.ttl_ms)
         self.facts = handle.getValueState("facts", "first_seen long, last_seen long")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
@@ -74,22 +89,24 @@ class AccountVelocity(StatefulProcessor):
         self.facts.update((int(row["first_seen"]), int(row["last_seen"])))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _rows(rows, ["t", "tx_id"])
-        known = sorted(int(r[0]) for r in self.times.get()) if self.times.exists() else []
+        found = _sorted(rows, ["t", "tx_id"])
+        known = Timeline(*self.times, DAY)
         facts = self.facts.get() if self.facts.exists() else None
         first, last = (int(facts[0]), int(facts[1])) if facts else (None, None)
-        out = []
-        for t, same in pdf.groupby("t", sort=True):
-            t = int(t)
-            earlier = [x for x in known if x < t]
-            counts = [sum(1 for x in earlier if x > t - span) for span in _SPANS]
+        out, k = [], 0
+        while k < len(found):
+            t, start = int(found[k][0]), k
+            counts = [known.between(t - span, t)[0] for span in _SPANS]
             since = None if last is None else (t - last) / 1e6
-            for tx in same["tx_id"]:
-                out.append((int(tx), int(key[0]), *counts, since, t if first is None else first))
+            while k < len(found) and found[k][0] == t:
+                out.append((int(found[k][1]), int(key[0]), *counts, since, t if first is None else first))
+                k += 1
             first = t if first is None else min(first, t)
             last = t if last is None else max(last, t)
-            known = [x for x in known if x > t - 7 * DAY] + [t] * len(same)
-        self.times.put([(x,) for x in known])
+            for _ in range(start, k):
+                known.add(t)
+        known.trim(last - _SPANS[-1])
+        known.save()
         self.facts.update((first, last))
         yield from _frame(out, VELOCITY)
 
@@ -109,22 +126,23 @@ class AccountFreeze(StatefulProcessor):
         self.count, self.span, self.ttl_ms = count, span, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.highs = handle.getListState("highs", "t long", ttlDurationMs=self.ttl_ms)
+        self.highs = _timeline(handle, "highs", self.ttl_ms)
         self.frozen = handle.getValueState("frozen", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _rows(rows, ["t", "tx_id"])
-        out = []
+        found, out, k = _sorted(rows, ["t", "tx_id"]), [], 0
         if not self.frozen.exists():
-            held = [int(r[0]) for r in self.highs.get()] if self.highs.exists() else []
-            for t, same in pdf.groupby("t", sort=True):
-                t = int(t)
-                held = [x for x in held if x > t - self.span] + [t] * len(same)
-                if len(held) >= self.count:
-                    out.append((int(key[0]), int(same["tx_id"].min()), t))
+            held = Timeline(*self.highs, self.span)
+            while k < len(found) and not out:
+                t, tx = int(found[k][0]), int(found[k][1])
+                while k < len(found) and found[k][0] == t:
+                    held.add(t)
+                    k += 1
+                if held.between(t - self.span, t + 1)[0] >= self.count:
+                    out.append((int(key[0]), tx, t))
                     self.frozen.update((t,))
-                    break
-            self.highs.put([(x,) for x in held])
+            held.trim(t - self.span)
+            held.save()
         yield from _frame(out, FREEZE)
 
     def close(self) -> None:
@@ -148,24 +166,22 @@ class MccBreaker(StatefulProcessor):
         self.settings = (threshold, minutes, minimum, reset)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buckets = handle.getMapState("buckets", "minute long", "n long, fraud long")
+        self.totals = _timeline(handle, "totals")
         self.breach = handle.getValueState("breach", "last long, open boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         threshold, minutes, minimum, reset = self.settings
-        pdf = _rows(rows, ["minute"])
+        found = _sorted(rows, ["minute", "n", "fraud"])
+        totals = Timeline(*self.totals, minutes, 2)
         state = self.breach.get() if self.breach.exists() else None
         last, was_open = (state[0], bool(state[1])) if state else (None, False)
         out = []
-        for r in pdf.itertuples():
-            minute = int(r.minute)
-            self.buckets.updateValue((minute,), (int(r.n), int(r.fraud)))
-            n = fraud = 0
-            for k, v in list(self.buckets.iterator()):
-                if int(k[0]) <= minute - minutes:
-                    self.buckets.removeKey((int(k[0]),))
-                elif int(k[0]) <= minute:
-                    n, fraud = n + int(v[0]), fraud + int(v[1])
+        for minute, n, fraud in ((int(m), int(n), int(f)) for m, n, f in found):
+            known = totals.between(minute - 1, minute + 1)
+            if known[0]:  # a minute's new total takes the place of its old one
+                totals.remove(minute, known[1:])
+            totals.add(minute, [n, fraud])
+            _, n, fraud = totals.between(minute - minutes, minute + 1)
             # In ten-thousandths, so that a rate exactly at the threshold is no breach.
             if n >= minimum and min(fraud, n) * 10_000 > round(threshold * 10_000) * n:
                 last = minute
@@ -173,6 +189,8 @@ class MccBreaker(StatefulProcessor):
             change = "OPENED" if now_open and not was_open else "CLOSED" if was_open and not now_open else None
             out.append((key[0], minute, now_open, change))
             was_open = now_open
+        totals.trim(int(found[-1][0]) - minutes)
+        totals.save()
         if last is not None:
             self.breach.update((last, was_open))
         yield from _frame(out, BREAKER)
@@ -306,26 +324,19 @@ class CounterpartyLabels(StatefulProcessor):
         self.span = span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.labels = handle.getListState("labels", "t long, at long")
+        self.labels = _timeline(handle, "labels")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _rows(rows, ["at", "kind", "tx_id"])
-        held = [(int(r[0]), int(r[1])) for r in self.labels.get()] if self.labels.exists() else []
-        out, now = [], None
-        for r in pdf.itertuples():
-            now = int(r.at)
-            if r.kind == "label":
-                held.append((int(r.t), now))
+        # At one instant payments come first: a label is seen by later ones only.
+        found = sorted((int(at), kind == "label", int(t), int(tx)) for at, kind, t, tx in _sorted(rows, ["at", "kind", "t", "tx_id"]))
+        held, out = Timeline(*self.labels, DAY), []
+        for at, is_label, t, tx in found:
+            if is_label:
+                held.add(t)
             else:
-                seen = sum(1 for t, at in held if now - self.span < t < now and at < now)
-                out.append((int(r.tx_id), int(key[0]), seen))
-        if now is not None:
-            held = [x for x in held if x[0] > now - self.span]
-        # An empty list cannot be stored.
-        if held:
-            self.labels.put(held)
-        else:
-            self.labels.clear()
+                out.append((tx, int(key[0]), held.between(at - self.span, at)[0]))
+        held.trim(found[-1][0] - self.span)
+        held.save()
         yield from _frame(out, LABELLED)
 
     def close(self) -> None:
