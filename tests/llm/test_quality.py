@@ -37,14 +37,14 @@ def test_statistics(docs_of):
         assert (x.base_failed, x.kept, x.rule) == (failed, not failed, None)
 
 
-def brute_learn(cells, max_rules, max_conditions, min_rows, min_precision):
+def brute_learn(cells, min_rows, min_precision):
     """cells: (pruning, bad, levels, n). The same list by looking at every row for every condition."""
     options = [(s, level, up) for s, cuts in quality.CUTS.items() for level in range(1, len(cuts) + 1) for up in (True, False)]
     fits = lambda levels, c: (levels[c[0]] >= c[1]) == c[2]
     out = []
-    while len(out) < max_rules:
+    while True:
         grown, rows = [], [c for c in cells if not c[0]]
-        while len(grown) < max_conditions:
+        while True:
             p0, n0 = (sum(c[3] for c in rows if c[1] == b) for b in (True, False))
             if not p0 or not n0:
                 break
@@ -90,9 +90,9 @@ def test_learner_equals_brute_force(spark):
         cells = made_cells(seed)
         schema = "pruning boolean, bad boolean, " + ", ".join(f"{n} int" for n in names) + ", n long"
         frame = spark.createDataFrame([(p, b, *[v[n] for n in names], k) for p, b, v, k in cells], schema).coalesce(2).cache()
-        rules = quality.learn(frame, 4, 3, 3, precision)
+        rules = quality.learn(frame, 3, precision)
         got = [([(c.share, c.level, c.upward) for c in r.conditions], r.rows, r.bad) for r in rules]
-        assert got == brute_learn(cells, 4, 3, 3, precision)
+        assert got == brute_learn(cells, 3, precision)
         assert precision > 0.9 or got
 
 

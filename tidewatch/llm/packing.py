@@ -7,7 +7,9 @@ The cuts minimise padding plus a penalty for each cut that does not end a docume
     best[j] = size - place[j] + penalty[j] + min(best[i] + place[i]),  place[j] - place[i] <= size
 
 The minimum over the sliding range of i is the head of a monotone queue, so a cut point costs
-constant time. Range partitions of the ids are packed on their own and in order.
+constant time. Range partitions of the ids are packed on their own and in order, and a partition is
+solved SEGMENT tokens at a time: all windows but the last REDONE of a segment are then fixed, so the
+cost is least within a segment, and next to least over several.
 """
 
 from __future__ import annotations

@@ -161,10 +161,13 @@ def _gain(p0: float, n0: float, p: float, n: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
 
 
-def grow(cells: DataFrame, max_conditions: int, min_rows: int) -> list[Condition]:
-    """Add the condition of most gain until no good row is left or none gains."""
+def grow(cells: DataFrame, min_rows: int) -> list[Condition]:
+    """Add the condition of most gain until no good row is left or none gains.
+
+    A condition that gains leaves fewer rows, so this ends.
+    """
     found: list[Condition] = []
-    while len(found) < max_conditions:
+    while True:
         names = ", ".join(f"'{n}', `{n}`" for n in CUTS)
         held = cells.filter(~F.col("pruning") & _all(found))
         bins = held.select("bad", "n", F.expr(f"stack({len(CUTS)}, {names}) as (share, level)"))
@@ -215,17 +218,15 @@ def prune(cells: DataFrame, grown: list[Condition]) -> Rule | None:
     return best[1]
 
 
-def learn(
-    counts: DataFrame, max_rules: int = 8, max_conditions: int = 4, min_rows: int = 3, min_precision: float = 0.95
-) -> list[Rule]:
-    """Rules in order; each was learned from the rows that no earlier one covers.
+def learn(counts: DataFrame, min_rows: int = 3, min_precision: float = 0.95) -> list[Rule]:
+    """Rules in order; each was learned from the rows that no earlier one covers, as many as it takes.
 
     Learning ends with the first rule that has fewer than min_rows bad rows, or a smaller share of
     them than min_precision, in the pruning part. Without labels or bad rows there is no rule.
     """
     cells, rules = counts, []
-    while len(rules) < max_rules:
-        rule = prune(cells, grow(cells, max_conditions, min_rows))
+    while True:
+        rule = prune(cells, grow(cells, min_rows))
         if rule is None or rule.bad < min_rows or rule.bad < min_precision * rule.rows:
             break
         rules.append(rule)
