@@ -20,5 +20,5 @@ def test_seed_study_and_size_grid_are_whole(spark, sf, monkeypatch):
     runs = [r.run for r in QUERIES["e19_m09_seed_variance_and_size_grid"](spark, sf).collect()]
     seeds = [1, 2, 3, 4, 5]
     grid = [(50, 3), (100, 4), (200, 5), (400, 6), (800, 8)]
-    assert fitted == [(40, 5, s) for s in seeds] + [(n, d, 7) for n, d in grid]
+    assert fitted == [(200, 5, s) for s in seeds] + [(n, d, 7) for n, d in grid]
     assert sorted(runs) == sorted([f"seed {s}" for s in seeds] + [f"{n} x {d}" for n, d in grid])

@@ -235,7 +235,7 @@ FROM (SELECT {_REASON} AS reason FROM payments)""",
 def stream_routing(spark, sf):
     """The same records through a stream, split into two folders."""
     base = scratch(spark)
-    _records(payments(spark, sf)).select("value").repartition(4).write.text(f"{base}/in")
+    _records(payments(spark, sf)).select("value").write.text(f"{base}/in")
     stream = topics.read_files(spark, f"{base}/in", 2)
     flows.run_available(
         stream, flows.route("payment.decided", 1, PAYLOAD, f"{base}/split"), f"{base}/ckpt"
@@ -459,12 +459,13 @@ def stream_ingest(spark, sf):
     """Requests and copies in a first run; other amounts and broken bodies in a second one."""
     p, base = payments(spark, sf), scratch(spark)
     sent = _submitted(p)
-    broken = p.filter("k % 5 = 0").select(F.concat(F.lit('{"transaction_id":'), F.col("tx_id")).alias("value"))
+    last = F.lit(2).alias("arrival")
+    broken = p.filter("k % 5 = 0").select(F.concat(F.lit('{"transaction_id":'), F.col("tx_id")).alias("value"), last)
     parts = [
-        sent.filter("arrival < 2").select(F.col("body").alias("value")),
-        sent.filter("arrival = 2").select(F.col("body").alias("value")).unionByName(broken),
+        sent.filter("arrival < 2").select(F.col("body").alias("value"), "arrival"),
+        sent.filter("arrival = 2").select(F.col("body").alias("value"), last).unionByName(broken),
     ]
-    restarted(spark, parts, _files(spark), flows.ingest_batches(EPOCH + 60 * DAY, base))
+    restarted(spark, parts, _files(spark), flows.ingest_batches(EPOCH + 60 * DAY, base, "arrival"))
     taken = spark.read.parquet(f"{base}/accepted").select(F.lit("accepted").alias("outcome"))
     refused = spark.read.parquet(f"{base}/refused").select("outcome")
     dead = spark.read.parquet(f"{base}/dead").select(F.lit("dead").alias("outcome"))
