@@ -36,11 +36,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     out = neardup.near_duplicates(rows, id_col="_row", width=5, percent=80).filter("n_shingles > 0").select(
         F.col("doc_id").alias("_row"), "component_id")
-    several = out.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
-    groups = stored(out.join(several, "component_id", "left_semi"), "groups")
+    others = stored(out.filter("_row <> component_id"), "others")  # all but the first row of each group
+    heads = others.select(F.col("component_id").alias("_row"), "component_id").distinct()
+    groups = stored(others.unionByName(heads), "groups")
     placed = groups.join(rows.select("_row", "doc_id"), "_row").select("_row", "component_id", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("place"))
-    copies = placed.join(placed.groupBy("component_id").agg(F.min("place").alias("first")), "component_id").filter(F.col("place") != F.col("first"))
-    return rows.join(maybe_broadcast(stored(copies.select("_row"), "copies")), "_row", "left_anti").select(*COLUMNS)
+    stay = stored(placed.groupBy("component_id").agg(F.min("place")["_row"].alias("_row")).select("_row"), "stay")
+    # By row and not by group, so that a large group is no task's alone.
+    copies = groups.select("_row").join(maybe_broadcast(stay), "_row", "left_anti")
+    return rows.join(maybe_broadcast(stored(copies, "copies")), "_row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
