@@ -712,7 +712,7 @@ def stream_hold_timeout(spark, sf):
     s.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(s.schema).parquet(f"{base}/in")
     timed = stream.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", "10 minutes")
-    out = state.keyed(timed, "tx_id", state.HoldTimeout(1800 * SECOND), state.HOLD, time="EventTime")
+    out = state.keyed(state.bucketed(timed, "tx_id"), "bucket", state.HoldTimeout(1800 * SECOND), state.HOLD, time="EventTime")
     flows.run_available(out, flows.append_to(f"{base}/out"), f"{base}/ckpt").awaitTermination()
     return flows.stored(spark, f"{base}/out", state.HOLD).drop("resolved_at")
 

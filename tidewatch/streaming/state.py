@@ -8,10 +8,12 @@ needs processing time and so a stream that keeps running, the state of a quiet k
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -209,40 +211,95 @@ HOLD = T.StructType(
 )
 
 
+#: Buckets that keys of a row or two each are put into, so that a task is not called for every one of them.
+BUCKETS = 4_096
+
+
+def bucketed(stream: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``bucket``, a hash bucket of the key: the key of processors that hold many small states each.
+
+    Rows without a key have a bucket of their own, so that no other bucket's keys are read as floats.
+    """
+    return stream.withColumn("bucket", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))))
+
+
+class Deadlines:
+    """One event-time timer of a bucket, at the earliest of its deadlines."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle = handle
+        self.at = handle.getValueState("next_ms", "at long")
+
+    def set(self, earliest: int | None) -> None:
+        """Moves the timer to the earliest deadline in milliseconds; None takes it away."""
+        old = int(self.at.get()[0]) if self.at.exists() else None
+        if old == earliest:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        if earliest is None:
+            self.at.clear()
+        else:
+            self.at.update((earliest,))
+            self.handle.registerTimer(earliest)
+
+    def over(self, timerValues, expiredTimerInfo):
+        """Tells whether a deadline has passed: the one that has fired, or any before the watermark."""
+        self.at.clear()
+        fired, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        return lambda due: due <= fired or due < now
+
+
 class HoldTimeout(StatefulProcessor):
-    """Holds with a deadline; an answer in time cancels the timer, else the policy answers."""
+    """Holds with a deadline; an answer in time cancels it, else the policy answers.
+
+    The key is a bucket of payments: its open holds, which end within the review time, are one value.
+    """
 
     def __init__(self, review_us: int):
         self.review_us = review_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.hold = handle.getValueState("hold", "deadline_ms long, policy string")
+        self.deadlines = Deadlines(handle)
+        self.holds = handle.getValueState("holds", "data binary")
+
+    def _open(self) -> dict[int | None, tuple[int, str]]:
+        return dict(json.loads(bytes(self.holds.get()[0]))) if self.holds.exists() else {}
+
+    def _keep(self, held: dict[int | None, tuple[int, str]]) -> None:
+        if held:
+            self.holds.update((json.dumps(list(held.items())).encode(),))
+        elif self.holds.exists():
+            self.holds.clear()
+        self.deadlines.set(min((due for due, _ in held.values()), default=None))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _rows(rows, ["seq"])
-        answered = bool((pdf["seq"] > 1).any())
-        opened = pdf[(pdf["seq"] == 1) & (pdf["decision"] == "HOLD")]
-        if len(opened) and not answered:
-            row = opened.iloc[0]
-            deadline = (int(row["at"]) + self.review_us) // 1_000
-            self.hold.update((deadline, str(row["policy"])))
-            self.handle.registerTimer(deadline)
-        elif answered and self.hold.exists():
-            self.handle.deleteTimer(int(self.hold.get()[0]))
-            self.hold.clear()
+        held = self._open()
+        opened, answered = {}, set()
+        for frame in rows:
+            columns = [frame[c].tolist() for c in ("tx_id", "seq", "decision", "at", "policy")]
+            for tx, seq, decision, at, policy in zip(*columns, strict=True):
+                tx = None if pd.isna(tx) else int(tx)
+                if seq > 1:
+                    answered.add(tx)
+                elif seq == 1 and decision == "HOLD" and tx not in opened:
+                    opened[tx] = (at, policy)
+        for tx in answered:
+            held.pop(tx, None)
+        new = {tx: ((int(at) + self.review_us) // 1_000, str(policy)) for tx, (at, policy) in opened.items() if tx not in answered}
+        self._keep(held | new)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.hold.exists():
-            deadline, policy = self.hold.get()
-            release = policy == "RELEASE_WITH_TIMEOUT_LABEL"
-            out.append(
-                (int(key[0]), "TIMEOUT_RELEASE" if release else "DECLINE",
-                 "REVIEW_TIMEOUT" if release else "REVIEW_TIMEOUT_DECLINED", int(deadline) * 1_000)
-            )
-            self.hold.clear()
+        out, held, over = [], self._open(), self.deadlines.over(timerValues, expiredTimerInfo)
+        for tx, (due, policy) in held.items():
+            if over(due):
+                release = policy == "RELEASE_WITH_TIMEOUT_LABEL"
+                out.append(
+                    (tx, "TIMEOUT_RELEASE" if release else "DECLINE",
+                     "REVIEW_TIMEOUT" if release else "REVIEW_TIMEOUT_DECLINED", int(due) * 1_000)
+                )
+        self._keep({tx: hold for tx, hold in held.items() if not over(hold[0])})
         yield from _frame(out, HOLD)
 
     def close(self) -> None:
