@@ -1,10 +1,12 @@
 """Processors that hold many small keys in one bucket: one call, one timer and few states for all of them."""
 
+import random
+
 import pandas as pd
 from test_keyed_state import Clock, Handle, run
 
 from tidewatch.queries import QUERIES
-from tidewatch.streaming import state
+from tidewatch.streaming import machines, state
 
 MS = 1_000
 
@@ -49,4 +51,36 @@ def test_a_bucket_of_holds_has_one_timer_and_each_hold_its_own_end():
 def test_holds_of_a_stream_are_called_by_bucket(spark, sf, monkeypatch):
     seen = calls_of(monkeypatch, state.HoldTimeout)
     QUERIES["k10_stream_hold_timeout"](spark, sf)
-    assert seen == [("bucket", True)]
+    assert seen and set(seen) == {("bucket", True)}
+
+
+def test_a_bucket_of_parents_gives_what_a_parent_of_its_own_gives():
+    r = random.Random(5)
+    budget, parts = 100 * MS, []
+    for step in range(4):
+        events = [("child", step * 200 * MS + r.randrange(250 * MS), k, k * 10 + r.randrange(3)) for k in range(60) if r.random() < 0.6]
+        events += [("parent", step * 200 * MS + r.randrange(250 * MS), k, None) for k in range(60) if r.random() < 0.3]
+        parts.append(pd.DataFrame(events, columns=["kind", "at", "parent", "child"]))
+    waits, shared = machines.ParentWaits(budget), Handle()
+    waits.init(shared)
+    alone = {k: (machines.ParentWait(budget), Handle()) for k in range(60)}
+    for processor, handle in alone.values():
+        processor.init(handle)
+    wanted, got = [], []
+    for step, part in enumerate(parts):
+        got += run(waits, [part])
+        assert len(shared.timers) <= 1
+        for k, (processor, handle) in alone.items():
+            mine = part[part.parent == k]
+            if len(mine):
+                wanted += [(k, *row[1:]) for row in run(processor, [mine.drop(columns="parent")])]
+        got += expired(waits, shared, step * 200)
+        for k, (processor, handle) in alone.items():
+            wanted += [(k, *row[1:]) for row in expired(processor, handle, step * 200)]
+    assert sorted(got) == sorted(wanted) and {row[2] for row in got} == {"matched", "parent_missing"}
+
+
+def test_parent_waits_of_a_stream_are_called_by_bucket(spark, sf, monkeypatch):
+    seen = calls_of(monkeypatch, machines.ParentWaits)
+    QUERIES["k16_stream_parent_wait"](spark, sf)
+    assert seen and set(seen) == {("bucket", True)}

@@ -279,7 +279,7 @@ def stream_parent_wait(spark, sf):
 
     def make(stream):
         timed = stream.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", "10 minutes")
-        return state.keyed(timed, "parent", machines.ParentWait(_BUDGET), machines.WAITED, time="EventTime")
+        return state.keyed(state.bucketed(timed, "parent"), "bucket", machines.ParentWaits(_BUDGET), machines.WAITED, time="EventTime")
 
     out = stateful(spark, children.unionByName(parents), "at", SPLIT, make, machines.WAITED)
     return out.select(F.col("child").alias("tx_id"), "outcome", "at")

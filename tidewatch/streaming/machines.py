@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.streaming.state import HOUR, MINUTE
+from tidewatch.streaming.state import HOUR, MINUTE, Deadlines
 from tidewatch.streaming.timeline import Timeline
 
 HIGH, RELEASE = "high", "release"
@@ -70,6 +71,24 @@ WAITED = T.StructType(
 )
 
 
+def settled(parent: int | None, found: list[tuple[int, bool, int]], known: int | None, waiting: dict[int, int], budget: int) -> tuple[int | None, dict[int, int], list[tuple]]:
+    """(when the parent came, children that wait and since when, outcomes) after rows (at, is a child, child) in order."""
+    waiting, out = dict(waiting), []
+    for at, is_child, child in found:
+        if is_child:
+            if known is not None and known <= at + budget:
+                out.append((parent, child, MATCHED, max(at, known)))
+            else:
+                waiting[child] = at
+        elif known is None:
+            known = at
+            for child, since in waiting.items():
+                in_time = at <= since + budget
+                out.append((parent, child, MATCHED if in_time else PARENT_MISSING, at if in_time else since + budget))
+            waiting = {}
+    return known, waiting, out
+
+
 class ParentWait(StatefulProcessor):
     """Children wait for the parent of their key, each with a timer of its own.
 
@@ -92,23 +111,18 @@ class ParentWait(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         found = sorted((int(at), kind == CHILD, int(child)) for frame in rows for at, kind, child in frame[["at", "kind", "child"]].fillna({"child": -1}).itertuples(index=False, name=None))
-        known = int(self.parent.get()[0]) if self.parent.exists() else None
-        out = []
-        for at, is_child, child in found:
-            if is_child:
-                if known is not None and known <= at + self.budget:
-                    out.append((int(key[0]), child, MATCHED, max(at, known)))
-                else:
-                    self.waiting.updateValue((child,), (at,))
-                    self.handle.registerTimer(self._due(at))
-            elif known is None:
-                known = at
-                self.parent.update((at,))
-                for waiting, since in [(int(c[0]), int(s[0])) for c, s in self.waiting.iterator()]:
-                    in_time = at <= since + self.budget
-                    out.append((int(key[0]), waiting, MATCHED if in_time else PARENT_MISSING, at if in_time else since + self.budget))
-                    self.waiting.removeKey((waiting,))
-                    self.handle.deleteTimer(self._due(since))
+        before = int(self.parent.get()[0]) if self.parent.exists() else None
+        old = {int(c[0]): int(s[0]) for c, s in self.waiting.iterator()}
+        known, waiting, out = settled(None if key[0] is None else int(key[0]), found, before, old, self.budget)
+        if known != before:
+            self.parent.update((known,))
+        for child in old.keys() - waiting.keys():
+            self.waiting.removeKey((child,))
+            self.handle.deleteTimer(self._due(old[child]))
+        for child, at in waiting.items():
+            if old.get(child) != at:
+                self.waiting.updateValue((child,), (at,))
+                self.handle.registerTimer(self._due(at))
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in WAITED.fields])
 
@@ -122,3 +136,68 @@ class ParentWait(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class ParentWaits(ParentWait):
+    """ParentWait for parents of a child or two each: the key is a bucket of them, `parent` a column.
+
+    A bucket's parents and waiting children lie in slots by a hash of the parent; a batch reads the
+    slots it touches. One timer a bucket stands at the earliest time that is over.
+    """
+
+    SLOTS = 16
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.deadlines = Deadlines(handle)
+        self.slots = handle.getMapState("slots", "slot long", "data binary, due long")
+
+    def _read(self, slot: int) -> tuple[dict[int, int], dict[int, dict[int, int]]]:
+        """(when parents came, the children that wait for others)."""
+        if not self.slots.containsKey((slot,)):
+            return {}, {}
+        came, waiting = json.loads(bytes(self.slots.getValue((slot,))[0]))
+        return dict(came), {parent: dict(children) for parent, children in waiting}
+
+    def _write(self, slot: int, came: dict[int, int], waiting: dict[int, dict[int, int]]) -> None:
+        due = min((self._due(at) for children in waiting.values() for at in children.values()), default=None)
+        data = [list(came.items()), [(parent, list(children.items())) for parent, children in waiting.items()]]
+        self.slots.updateValue((slot,), (json.dumps(data).encode(), due))
+
+    def _earliest(self) -> int | None:
+        return min((int(v[1]) for v in self.slots.values() if v[1] is not None), default=None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found: dict[int, dict[int | None, list]] = {}
+        for frame in rows:
+            columns = [frame[c].tolist() for c in ("parent", "at", "kind")] + [frame["child"].fillna(-1).tolist()]
+            for parent, at, kind, child in zip(*columns, strict=True):
+                parent = None if pd.isna(parent) else int(parent)
+                found.setdefault((parent or 0) % self.SLOTS, {}).setdefault(parent, []).append((int(at), kind == CHILD, int(child)))
+        out = []
+        for slot, parents in found.items():
+            came, waiting = self._read(slot)
+            for parent, events in parents.items():
+                known, left, new = settled(parent, sorted(events), came.get(parent), waiting.pop(parent, {}), self.budget)
+                if known is not None:
+                    came[parent] = known
+                if left:
+                    waiting[parent] = left
+                out += new
+            self._write(slot, came, waiting)
+        self.deadlines.set(self._earliest())
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in WAITED.fields])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        over, out = self.deadlines.over(timerValues, expiredTimerInfo), []
+        for slot in [int(k[0]) for k, v in self.slots.iterator() if v[1] is not None and over(int(v[1]))]:
+            came, waiting = self._read(slot)
+            for parent, children in list(waiting.items()):
+                for child in [c for c, at in children.items() if over(self._due(at))]:
+                    out.append((parent, child, PARENT_MISSING, children.pop(child) + self.budget))
+                if not children:
+                    del waiting[parent]
+            self._write(slot, came, waiting)
+        self.deadlines.set(self._earliest())
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in WAITED.fields])
