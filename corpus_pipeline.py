@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontam, lines, neardup, packing, quality
-from tidewatch.llm.shared import maybe_broadcast, stored, table
+from tidewatch.llm.shared import arrow_rows, maybe_broadcast, stored, table
+
+#: Texts that a worker is handed at once for packing.
+PACKED_ROWS = 2_000
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -52,8 +55,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of at most 2048 tokens."""
-    return packing.pack(docs)
+    """The pieces of sequences of at most 2048 tokens, written while batches of texts are small.
+
+    Beside the heap that earlier stages have grown, an executor has no room for texts by the ten thousand,
+    which Arrow would hold on both sides of each worker.
+    """
+    with arrow_rows(spark, PACKED_ROWS):
+        return stored(packing.pack(docs), "packing")
 
 
 STAGES = [
