@@ -8,6 +8,7 @@ from tidewatch.operators.hotkeys import find_hot_keys
 from tidewatch.plans import tables
 from tidewatch.plans.registry import FEATURES
 from tidewatch.queries.features import KEYS, prior
+from tidewatch.session import ROWS_A_TASK, dealt
 
 
 def test_splitting_hot_keys_changes_no_feature(spark, sf, monkeypatch):
@@ -53,3 +54,27 @@ def test_thin_history_is_missing_not_zero(spark, sf):
     first = ft.account_history(p).filter("tx_count_7d = 0 and seconds_since_last_tx is null")
     row = first.agg(F.count("implied_speed_kmh").alias("a"), F.count("*").alias("n")).first()
     assert row.a == 0 and row.n > 0
+
+
+def test_sweeps_of_large_keys_carry_their_own_columns_only(spark, sf, monkeypatch):
+    seen, plain = {}, ft.sweep
+
+    def sweep(df, key, *args, **kwargs):
+        seen[key] = df
+        return plain(df, key, *args, **kwargs)
+
+    monkeypatch.setattr(ft, "sweep", sweep)
+    base = tables.payments(spark, sf)
+    ft.feature_matrix(
+        tables.with_countries(base, spark, sf), prior=0.1, countries=tables.countries(spark, sf), limits=tables.limits(spark, sf),
+        tiers=tables.tiers(spark, sf), swaps=tables.sim_swaps(spark, sf), profiles=tables.profiles(spark, sf), standings=tables.standings(spark, sf),
+    )
+    for key in ("counterparty", "device", "agent", "cell"):
+        assert len(seen[key].columns) <= 8 and not set(seen[key].columns) & set(FEATURES), key
+    assert seen["agent"].filter("agent is null").count() == seen["device"].filter("device is null").count() == 0
+
+
+def test_tasks_of_wide_rows_stay_as_large_when_the_input_grows(spark):
+    rows = spark.range(10)
+    assert dealt(rows, "id", 10) is rows
+    assert dealt(rows, "id", 10 * ROWS_A_TASK).rdd.getNumPartitions() == 10
