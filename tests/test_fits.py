@@ -29,3 +29,14 @@ def test_an_error_of_a_fit_ends_the_study(spark):
 
     with pytest.raises(ValueError, match="no rows"):
         models.leave_one_out(spark.createDataFrame([("a", "test")], "country string, segment string"), "country", list("abcdefgh"), ["x"], fit)
+
+
+def test_each_row_goes_through_the_trees_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+    names = ["x", "y"]
+    rows = spark.range(400).selectExpr("id as tx_id", "cast(id % 37 as double) as x", "cast(id * 7 % 41 as double) as y")
+    counted = rows.rdd.map(lambda r: (runs.add(1), r)[1]).toDF(rows.schema)
+    forest = models.fit_isolation_forest(rows, names, trees=8)
+    out = forest.score(counted)
+    assert out.count() == 400 and out.filter("anomaly between 0 and 1").count() == 400
+    assert runs.value == 400
