@@ -40,3 +40,16 @@ def test_each_row_goes_through_the_trees_once(spark):
     out = forest.score(counted)
     assert out.count() == 400 and out.filter("anomaly between 0 and 1").count() == 400
     assert runs.value == 400
+
+
+
+def test_quantiles_and_drift_of_few_groups_are_the_same(spark):
+    from tidewatch.operators.evaluate import psi
+    from tidewatch.operators.order import quantiles
+
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'b') as name", "cast(id * 31 % 997 as double) as value")
+    plain, few = (sorted(map(tuple, quantiles(rows, "value", {"m": 0.5}, ["name"], few_groups=k).collect())) for k in (False, True))
+    assert plain == few and len(few) == 2
+    other = rows.filter("value > 200")
+    plain, few = (sorted((r[0], round(r[1], 9)) for r in psi(rows, other, "value", ["name"], few_groups=k).collect()) for k in (False, True))
+    assert plain == few and len(few) == 2
