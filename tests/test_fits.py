@@ -31,6 +31,25 @@ def test_an_error_of_a_fit_ends_the_study(spark):
         models.leave_one_out(spark.createDataFrame([("a", "test")], "country string, segment string"), "country", list("abcdefgh"), ["x"], fit)
 
 
+def test_boosted_fits_run_beside_each_other_on_rows_prepared_once(spark, monkeypatch):
+    matrix = spark.createDataFrame([("test",)], "segment string")
+    meet, made = threading.Barrier(2, timeout=60), []
+
+    def boosted(rows, setting):
+        rows.get()
+        meet.wait()  # one fit alone would wait in vain
+        return SimpleNamespace(score=lambda rows, name="score": rows)
+
+    monkeypatch.setattr(models.Prepared, "_make", lambda self: made.append(1) or ([], [], matrix))
+    monkeypatch.setattr(models, "_boosted", boosted)
+    monkeypatch.setattr(models, "evaluate_scores", lambda scored, keys: {**keys, "pos": 1, "neg": scored.count(), "auc": 0.5, "recall": 0.5})
+    out = models.seed_variance(matrix, ["x"], [4, 2, 3, 1]).collect()
+    assert [r.seed for r in out] == ["4", "2", "3", "1"] and made == [1]
+    out = models.size_grid(matrix, ["x"], [models.Boost(9, 2), models.Boost(3, 1)]).collect()
+    assert [(r.iterations, r.depth) for r in out] == [("9", "2"), ("3", "1")] and made == [1, 1]
+
+
+
 def test_each_row_goes_through_the_trees_once(spark):
     runs = spark.sparkContext.accumulator(0)
     names = ["x", "y"]
