@@ -13,7 +13,7 @@ from tidewatch.queries.registry import query
 from tidewatch.queries.streams import LETTERS, SPLIT, letters, payments, restarted, scratch, stateful
 from tidewatch.queries.views import EPOCH, sql
 from tidewatch.sources import topics
-from tidewatch.streaming import flows, history, machines, recovery, state
+from tidewatch.streaming import flows, history, keybuckets, machines, recovery, state
 
 DAY, HOUR, SECOND = tables.DAY, tables.HOUR, tables.SECOND
 
@@ -30,7 +30,7 @@ def _events(spark, sf, spec: history.Keyed) -> DataFrame:
 
 def answers(spark, sf, spec: history.Keyed) -> DataFrame:
     """The processor's answers over two runs, the second of which takes up the state of the first."""
-    make = lambda stream: state.keyed(stream, spec.key, history.KeyHistory(spec), spec.schema)
+    make = lambda stream: keybuckets.stage(stream, keybuckets.BucketHistory(spec))
     return stateful(spark, _events(spark, sf, spec), "at", SPLIT, make, spec.schema)
 
 
@@ -146,7 +146,7 @@ def restored_answers(spark, sf, spec: history.Keyed, with_snapshot: bool = True)
     base = scratch(spark)
     rows.filter(F.col("at") >= SPLIT).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-    out = state.keyed(stream, spec.key, history.KeyHistory(spec), spec.schema, initial=before)
+    out = keybuckets.stage(stream, keybuckets.BucketHistory(spec), initial=before)
     flows.run_available(out, flows.append_to(f"{base}/out"), f"{base}/ckpt").awaitTermination()
     return flows.stored(spark, f"{base}/out", spec.schema)
 
@@ -199,17 +199,15 @@ def idle_expiry(spark, sf):
         part.write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
         timed = stream.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", f"{_DELAY // SECOND} seconds")
-        processor = history.KeyHistory(spec, timers=True, idle=_IDLE, kept=_KEPT)
-        out = state.keyed(timed, spec.key, processor, spec.schema, time="EventTime")
+        out = keybuckets.stage(timed, keybuckets.BucketHistory(spec, timers=True, idle=_IDLE, kept=_KEPT), time="EventTime")
         flows.run_available(out, flows.append_to(f"{base}/out"), f"{base}/ckpt").awaitTermination()
-    facts = state.read_back(spark, f"{base}/ckpt", "facts").select("key.counterparty", "value.first_seen", "value.last_seen")
-    held = {}
-    for name in ("fresh_account_index", "labels_index"):
-        held[name] = state.read_back(spark, f"{base}/ckpt", name).select("key.counterparty", F.lit(True).alias(name))
-    found = facts.join(held["fresh_account_index"], "counterparty", "left").join(held["labels_index"], "counterparty", "left")
+    found = keybuckets.kept_facts(spark, f"{base}/ckpt", spec)
+    for name, part in (("has_windows", "account"), ("has_labels", history.LABELS)):
+        held = keybuckets.kept_keys(spark, f"{base}/ckpt", spec, part).withColumn(name, F.lit(True))
+        found = found.join(held, "counterparty", "left")
     return found.select(
-        "counterparty", "first_seen", "last_seen", F.coalesce("fresh_account_index", F.lit(False)).alias("has_windows"),
-        F.coalesce("labels_index", F.lit(False)).alias("has_labels"),
+        "counterparty", "first_seen", "last_seen", F.coalesce("has_windows", F.lit(False)).alias("has_windows"),
+        F.coalesce("has_labels", F.lit(False)).alias("has_labels"),
     )
 
 

@@ -36,6 +36,8 @@ from tidewatch.streaming.state import DAY, HOUR, MINUTE
 from tidewatch.streaming.timeline import Timeline
 
 PAYMENT, LABEL = "payment", "label"
+#: Parts of a snapshot beside the kinds of members.
+FACTS, ROWS, LABELS = "facts", "rows", "labels"
 #: First moment at which an idle key may lose its windows, and its labels.
 IDLE, KEPT = 30 * DAY, 90 * DAY
 
@@ -143,19 +145,18 @@ class KeyHistory(StatefulProcessor):
         return Timeline(*self.rows, spec.bucket, len(spec.measures)), Timeline(*self.labels, spec.bucket, 1), fresh
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Rows of a snapshot: times and sums by bucket, latest sightings by member, and the facts."""
+        """Rows of a snapshot: payments with their measures, labels, latest sightings by member, and the facts."""
         rows, labels, fresh = self._lines()
         for r in initialState.itertuples():
-            if r.part == "facts":
-                self.facts.update((int(r.first_seen), int(r.last_seen)))
+            if r.part == FACTS:
+                self.facts.update((int(r.t), int(r.last_seen)))
             elif r.part in self.members:
-                for t, member in zip(r.times, r.values[0], strict=True):
-                    self.members[r.part].updateValue((int(member),), (int(t),))
-                    fresh[r.part].add(int(t), [int(member)])
+                self.members[r.part].updateValue((int(r.member),), (int(r.t),))
+                fresh[r.part].add(int(r.t), [int(r.member)])
+            elif r.part == ROWS:
+                rows.add(int(r.t), [int(getattr(r, m)) for m in self.spec.measures])
             else:
-                line = rows if r.part == "rows" else labels
-                for k, t in enumerate(r.times):
-                    line.add(int(t), [int(v[k]) for v in r.values])
+                labels.add(int(r.t), [int(r.fraud)])
         for line in (rows, labels, *fresh.values()):
             line.save()
 
@@ -278,32 +279,26 @@ def _missing(value) -> bool:
 
 
 def snapshot_of(rows: DataFrame, spec: Keyed, before: int) -> DataFrame:
-    """What the state of every key holds once all events before an instant are in: initial state for KeyHistory.
+    """What the state of every key holds once all events before an instant are in: initial state for a processor.
 
-    (key, part, times, values, first_seen, last_seen): a row for each key's bucket of payments and of
-    labels, for its latest sightings of a kind of member by bucket, and for its facts.
+    (key, part, t, last_seen, member, fraud, measures): a row for each payment and label in reach, for the
+    latest sighting of each member in reach, and for each key's facts, whose t is its first sighting.
     """
     rows = rows.filter(F.col("at") < before)
     paid, told = rows.filter(F.col("kind") == PAYMENT), rows.filter(F.col("kind") == LABEL)
-    bucket = F.expr(f"t div {spec.bucket}").alias("bucket")
-    null = F.lit(None).cast("long")
 
-    def packed(df: DataFrame, part: str, values: list[str]) -> DataFrame:
-        packed = df.groupBy(spec.key, bucket).agg(F.sort_array(F.collect_list(F.struct("t", *values))).alias("entries"))
-        columns = F.array(*[F.col("entries").getField(n).cast("array<bigint>") for n in values]).cast("array<array<bigint>>")
-        return packed.select(
-            spec.key, F.lit(part).alias("part"), F.col("entries.t").alias("times"), columns.alias("values"), null.alias("first_seen"), null.alias("last_seen"))
+    def part(df: DataFrame, name: str, *values: str) -> DataFrame:
+        others = [F.col(n) if n in values else F.lit(None).cast("long").alias(n) for n in ("last_seen", "member", "fraud", *spec.measures)]
+        return df.select(spec.key, F.lit(name).alias("part"), "t", *others)
 
     reach = before - spec.reach - spec.bucket
-    facts = paid.groupBy(spec.key).agg(F.min("t").alias("first_seen"), F.max("t").alias("last_seen"))
-    none = F.lit(None)
-    out = facts.select(spec.key, F.lit("facts").alias("part"), none.cast("array<bigint>").alias("times"), none.cast("array<array<bigint>>").alias("values"), "first_seen", "last_seen")
+    out = part(paid.groupBy(spec.key).agg(F.min("t").alias("t"), F.max("t").alias("last_seen")), FACTS, "last_seen")
     if spec.windows:
-        out = out.unionByName(packed(paid.filter(F.col("t") > reach), "rows", spec.measures))
+        out = out.unionByName(part(paid.filter(F.col("t") > reach), ROWS, *spec.measures))
     for kind in spec.kinds:
         latest = paid.filter(F.col(kind).isNotNull()).groupBy(spec.key, F.col(kind).alias("member")).agg(F.max("t").alias("t"))
-        out = out.unionByName(packed(latest.filter(F.col("t") > reach), kind, ["member"]))
+        out = out.unionByName(part(latest.filter(F.col("t") > reach), kind, "member"))
     if spec.labels:
         far = before - max(s for s, _ in spec.labels.values()) - spec.bucket
-        out = out.unionByName(packed(told.filter(F.col("t") > far), "labels", ["fraud"]))
+        out = out.unionByName(part(told.filter(F.col("t") > far), LABELS, "fraud"))
     return out
