@@ -144,3 +144,10 @@ def test_fingerprint_ignores_partitioning(spark):
     b = quality.fingerprint(df.repartition(11), ["id", "x"], ["id"]).first()
     c = quality.fingerprint(df.withColumn("x", F.col("x") + 1), ["id", "x"], ["id"]).first()
     assert a == b and a.digest != c.digest
+
+
+def test_fingerprints_of_requests_are_made_once(spark, sf):
+    from tidewatch.queries import streams
+
+    plan = streams.idempotent(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan and "variant" not in plan

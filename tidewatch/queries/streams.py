@@ -15,7 +15,7 @@ from tidewatch.queries.evaluation import rounded
 from tidewatch.queries.features import hot_keys
 from tidewatch.queries.registry import query
 from tidewatch.queries.views import EPOCH, sql
-from tidewatch.session import scratch_dir
+from tidewatch.session import scratch_dir, stored
 from tidewatch.sources import history, release, requests, topics
 from tidewatch.streaming import flows, state
 
@@ -364,7 +364,8 @@ FROM payments, range(3) r(n) WHERE n = 0 OR (n = 1 AND k % 3 = 0) OR (n = 2 AND
 )
 def idempotent(spark, sf):
     sent = requests.parse(_submitted(payments(spark, sf)))
-    marked = sent.select("tx_id", "arrival", requests.fingerprint().alias("fingerprint"))
+    # Bodies and fingerprints cost most of the time; they are made once and read twice.
+    marked = stored(sent.select("tx_id", "arrival", requests.fingerprint().alias("fingerprint")), "requests")
     return requests.admissions(marked).select("tx_id", "arrival", "outcome")
 
 
