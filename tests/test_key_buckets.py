@@ -60,6 +60,14 @@ def test_a_bucket_answers_and_keeps_as_single_keys_also_when_late(seed):
     assert facts == {key: int(df[df.kind == "payment"].t.min()) for key, df in frames.items()}
 
 
+def test_keys_may_be_texts():
+    batches, frames = several_keys(1)
+    processor = BucketHistory(SPEC)
+    processor.init(Handle())
+    named = [b.assign(account=b.account.map(lambda k: f"{k}:\u00e9").astype(object)) for b in batches]
+    assert equal(run(processor, named, (0,)), [r for df in frames.values() for r in plain(df)])
+
+
 def test_a_batch_makes_no_trip_to_the_store_per_key_or_member():
     class Counted(Handle):
         trips = 0

@@ -8,7 +8,8 @@ arrays. A sighting or a label is a mark where it begins to count and a mark wher
 State of a bucket, all columns of whole numbers:
 - ``parts``: payments, latest sightings of each kind of member and labels, by part and day;
 - ``facts``: first and last sighting of each key, never removed;
-- ``newest``: with timers, each key's latest event and whether its windows are gone.
+- ``newest``: with timers, each key's latest event and whether its windows are gone;
+- ``names``: keys that are texts, each numbered by its place.
 
 A batch reads the windows of the buckets that it touches and writes the days that change. What is kept
 and when it goes are those of KeyHistory: whole time buckets behind a key's windows, key by key.
@@ -16,6 +17,7 @@ and when it goes are those of KeyHistory: whole time buckets behind a key's wind
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +81,7 @@ class BucketHistory(StatefulProcessor):
         self.parts = handle.getMapState("parts", "part string, day long", "data binary")
         self.facts = handle.getValueState("facts", "data binary")
         self.newest = handle.getValueState("newest", "data binary")
+        self.names = handle.getValueState("names", "data binary")
         self.deadlines = Deadlines(handle) if self.timers else None
 
     # ---- what is stored ----------------------------------------------------------------------------------
@@ -112,8 +115,22 @@ class BucketHistory(StatefulProcessor):
     def _table(value, width: int) -> Columns:
         return unpack(value.get()[0], width) if value.exists() else [np.empty(0, np.int64)] * width
 
+    def _numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Keys as whole numbers: texts by their place among those that the bucket has seen."""
+        if keys.dtype.kind in "iuf":
+            return keys.astype(np.int64)
+        found, places = np.unique(keys.astype(str), return_inverse=True)
+        names = json.loads(bytes(self.names.get()[0])) if self.names.exists() else []
+        number = {name: k for k, name in enumerate(names)}
+        new = [name for name in found.tolist() if name not in number]
+        if new:
+            self.names.update((json.dumps(names + new).encode(),))
+            number |= {name: len(names) + k for k, name in enumerate(new)}
+        return np.array([number[name] for name in found.tolist()], dtype=np.int64)[places]
+
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Rows of a snapshot; a large bucket's come in several frames."""
+        initialState = initialState.assign(**{self.spec.key: self._numbers(initialState[self.spec.key].to_numpy())})
         for part, rows in initialState.groupby("part"):
             if part == FACTS:
                 self._add_facts(*(rows[c].to_numpy(np.int64) for c in (self.spec.key, "t", "last_seen")))
@@ -140,7 +157,7 @@ class BucketHistory(StatefulProcessor):
         told = batch.pop("kind") == LABEL
         whole = lambda c: batch[c].astype(np.int64)
         filled = lambda c: np.nan_to_num(batch[c].astype(np.float64)).astype(np.int64) if batch[c].dtype.kind in "fO" else whole(c)
-        keys, group = np.unique(whole(spec.key), return_inverse=True)
+        keys, group = np.unique(self._numbers(batch[spec.key]), return_inverse=True)
         at = whole("at")
         newest = np.full(len(keys), _NEVER)
         np.maximum.at(newest, group, at)
@@ -345,13 +362,13 @@ def stage(stream: DataFrame, processor: BucketHistory, time: str = "None", initi
 
 
 def kept_facts(spark, checkpoint: str, spec: Keyed) -> DataFrame:
-    """(key, first_seen, last_seen) of every key, as the last batch left it."""
+    """(key, first_seen, last_seen) of every key, a whole number, as the last batch left it."""
     held = state.read_back(spark, checkpoint, "facts").select("value.data")
     return _rows(held, lambda data: unpack(data, 3), [spec.key, "first_seen", "last_seen"])
 
 
 def kept_keys(spark, checkpoint: str, spec: Keyed, part: str) -> DataFrame:
-    """The keys of which a part of the state is left."""
+    """The keys, whole numbers, of which a part of the state is left."""
     held = state.read_back(spark, checkpoint, "parts").filter(F.col("user_map_key.part") == part).select("user_map_value.data")
     width = widths(spec)[part]
     return _rows(held, lambda data: [np.unique(unpack(data, width)[0])], [spec.key]).distinct()
