@@ -78,3 +78,46 @@ def test_tasks_of_wide_rows_stay_as_large_when_the_input_grows(spark):
     rows = spark.range(10)
     assert dealt(rows, "id", 10) is rows
     assert dealt(rows, "id", 10 * ROWS_A_TASK).rdd.getNumPartitions() == 10
+
+
+def _reference(spark, sf):
+    return dict(
+        prior=0.1, countries=tables.countries(spark, sf), limits=tables.limits(spark, sf), tiers=tables.tiers(spark, sf),
+        swaps=tables.sim_swaps(spark, sf), profiles=tables.profiles(spark, sf), standings=tables.standings(spark, sf))
+
+
+def _few_rows(spark):
+    """Payments of five accounts; an id occurs twice and another is missing."""
+    p = spark.range(60).selectExpr(
+        "case when id = 59 then null when id = 58 then 57 else id end as tx_id", "id % 5 as account", "id * 7200000000 as t",
+        "id * 90 + 10 as cents", "cast(id * 0.9 as decimal(18,4)) as amount", "if(id % 2 = 0, 'CARD', 'AGENT_BANKING') as channel",
+        "id % 7 as counterparty", "id % 4 as device", "if(id % 2 = 0, null, id % 3) as agent", "'6011' as mcc", "id / 100.0D as lat", "id / 90.0D as lon",
+        "concat('c', id % 3) as cell", "id % 6 = 0 as is_fraud", "id * 7200000000 + 3600000000 as label_at", "'NATION_1' as country", "'C1' as currency",
+        "'NATION_2' as counterparty_country", "1 as utc_offset_hours")
+    return p.withColumn("t", F.col("t") + tables.EPOCH).withColumn("label_at", F.col("label_at") + tables.EPOCH)
+
+
+def test_laid_out_rows_give_the_same_features(spark, sf, monkeypatch):
+    from tidewatch import session
+
+    p, args, rows = _few_rows(spark), _reference(spark, sf), []
+    tiers = spark.range(40).selectExpr("id % 5 as account", f"{tables.EPOCH} + id * 9000000000 as effective_at", "id as version", "cast(id % 3 + 1 as int) as tier")
+    for bound in (session.ROWS_A_TASK, 3):
+        monkeypatch.setattr(session, "ROWS_A_TASK", bound)
+        rows.append(sorted(map(str, ft.feature_matrix(p, **args | {"tiers": tiers}).collect())))
+    # Two payments share an id, so each meets the statistics of both, twice.
+    assert rows[0] == rows[1] and len(rows[0]) == 58 + 8
+
+
+def test_laid_out_rows_stay_where_they_are_when_versions_are_looked_up(spark, sf):
+    rows = ft.agent_pairs(ft.novelty(ft.account_history(_few_rows(spark).repartition(6, "account"))))
+    out = ft.account_sweep(rows, None, tables.tiers(spark, sf), tables.sim_swaps(spark, sf), tables.profiles(spark, sf), 6)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # The rows once, and each of the three tables of versions.
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_wide_rows_are_shuffled_by_row_alone(spark, sf):
+    plan = ft.feature_matrix(_few_rows(spark), **_reference(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    top = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert sum("__row" in line for line in top) == 5 and not any("(tx_id" in line for line in top)
