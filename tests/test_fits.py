@@ -72,3 +72,32 @@ def test_quantiles_and_drift_of_few_groups_are_the_same(spark):
     other = rows.filter("value > 200")
     plain, few = (sorted((r[0], round(r[1], 9)) for r in psi(rows, other, "value", ["name"], few_groups=k).collect()) for k in (False, True))
     assert plain == few and len(few) == 2
+
+
+def test_baselines_share_their_rows_and_run_beside_each_other(spark, monkeypatch):
+    matrix = spark.createDataFrame([("test", True)], "segment string, calibration boolean")
+    meet, made = threading.Barrier(2, timeout=60), []
+
+    def fit(rows, names, shared):
+        assert shared == "shared"
+        meet.wait()  # one fit alone would wait in vain
+        return SimpleNamespace(score=lambda rows, name="score": rows.selectExpr("*", f"0.5D as {name}"))
+
+    monkeypatch.setattr(models, "training_rows", lambda matrix, names: made.append(1) or "shared")
+    for name in ("fit_logistic", "fit_random_forest"):
+        monkeypatch.setattr(models, name, fit)
+    monkeypatch.setattr(models, "fit_platt", lambda scored: (1.0, 0.0))
+    monkeypatch.setattr(models, "evaluate_scores", lambda scored, keys: {**keys, "pos": 1, "neg": scored.count(), "auc": 0.5, "recall": 0.5})
+    out = models.baselines(matrix, ["x"]).collect()
+    assert [r.model for r in out] == ["logistic", "logistic, Platt", "random forest"] and made == [1]
+
+
+def test_a_fit_on_shared_rows_is_the_same(spark):
+    rows = spark.range(400).selectExpr(
+        "id as tx_id", "'train' as segment", "hash(id) % 5 = 0 as is_fraud", "if(id % 9 = 0, null, cast(hash(id) % 5 + id % 7 as double)) as a", "cast(id % 11 as double) as b", "cast(null as double) as c")
+    names = ["a", "b", "c"]
+    shared = models.training_rows(rows, names)
+    assert shared[0] == ["a", "b"]
+    for fit in (models.fit_logistic, lambda m, n, **k: models.fit_random_forest(m, n, trees=5, **k)):
+        alone, both = (sorted((r.tx_id, round(r.score, 9)) for r in m.score(rows).collect()) for m in (fit(rows, names), fit(rows, names, shared=shared)))
+        assert alone == both and len({s for _, s in alone}) > 5
