@@ -101,3 +101,46 @@ def test_a_fit_on_shared_rows_is_the_same(spark):
     for fit in (models.fit_logistic, lambda m, n, **k: models.fit_random_forest(m, n, trees=5, **k)):
         alone, both = (sorted((r.tx_id, round(r.score, 9)) for r in m.score(rows).collect()) for m in (fit(rows, names), fit(rows, names, shared=shared)))
         assert alone == both and len({s for _, s in alone}) > 5
+
+
+def _counted(spark):
+    """A small matrix whose rows count how often they are made."""
+    runs = spark.sparkContext.accumulator(0)
+    rows = spark.range(600).selectExpr(
+        "id as tx_id", "if(id % 4 = 0, 'test', 'train') as segment", "hash(id) % 5 = 0 as is_fraud",
+        "element_at(array('A', 'B', 'C', null), cast(id % 7 % 4 as int) + 1) as country",
+        "cast(hash(id) % 5 + id % 7 as double) as a", "if(id % 9 = 0, null, id % 11) as b",
+        "if(id % 13 = 0, double('NaN'), double(hash(id * 3) % 8)) as c", "cast(null as double) as d", "id % 3 = 0 as e")
+    return rows, rows.rdd.map(lambda r: (runs.add(1), r)[1]).toDF(rows.schema), runs
+
+
+def test_leaving_one_out_makes_its_rows_once_for_all_fits(spark):
+    rows, counted, runs = _counted(spark)
+    out = models.leave_one_out(counted, "country", ["C", "A", "B"], list("abcde")).collect()
+    assert runs.value <= 4 * rows.count()  # each fit alone reads them five times
+    plain = models.leave_one_out(rows, "country", ["C", "A", "B"], list("abcde"), models.fit_logistic).collect()
+    assert [(r.held_out, r.pos, r.neg, round(r.auc, 9), r.recall) for r in out] == [(r.held_out, r.pos, r.neg, round(r.auc, 9), r.recall) for r in plain]
+    assert models.packed(rows, list("abcde"), ["tx_id"])[1] == ["a", "e"]
+
+
+def test_ablations_make_their_rows_once_for_all_fits(spark):
+    rows, counted, runs = _counted(spark)
+    groups = {"x": ["b", "a"], "y": ["c", "d"], "z": ["e"]}
+    out = models.ablations(counted, groups).collect()
+    assert runs.value <= 8 * rows.count()  # six fits alone read them five times each
+    plain = models.ablations(rows, groups, models.fit_logistic).collect()
+    assert [(r.feature_group, r.kind, r.pos, r.neg, round(r.auc, 9), r.recall) for r in out] == [
+        (r.feature_group, r.kind, r.pos, r.neg, round(r.auc, 9), r.recall) for r in plain]
+
+
+def test_one_ranking_gives_both_rank_figures(spark):
+    from tidewatch.operators import evaluate as ev
+
+    rows = spark.range(3000).selectExpr(
+        "if(id % 50 = 0, null, if(id % 51 = 0, double('NaN'), round(abs(hash(id)) % 1000 / 700D, 2))) as score",
+        "if(id % 40 = 0, null, hash(id, 1) % 9 = 0) as is_fraud")
+    for part in (rows, rows.filter("is_fraud"), rows.filter("not is_fraud"), rows.filter("is_fraud is null"), rows.limit(0)):
+        hist = ev.histogram(part)
+        ranked, point = ev.auc(hist).first(), ev.budget_point(hist).first()
+        both = ev.rank_summary(hist).first()
+        assert tuple(both) == (ranked.pos, ranked.neg, ranked.auc, point.recall if point else None)
