@@ -144,3 +144,46 @@ def test_one_ranking_gives_both_rank_figures(spark):
         ranked, point = ev.auc(hist).first(), ev.budget_point(hist).first()
         both = ev.rank_summary(hist).first()
         assert tuple(both) == (ranked.pos, ranked.neg, ranked.auc, point.recall if point else None)
+
+
+def test_medians_are_exact_and_gather_few_values(spark):
+    import statistics
+
+    from tidewatch.operators import order
+
+    columns = {"a": "double(abs(hash(id)) % 100000)", "b": "if(id % 3 = 0, null, id % 2)", "c": "if(id > 7, null, double(id) * id)", "d": "cast(null as int)", "e": "id = 5", "f": "-double(id)"}
+    for size in (1, 2, 9, 12_000):
+        rows = spark.range(size).selectExpr(*[f"{e} as {n}" for n, e in columns.items()])
+        got, have = order.medians(rows, list(columns)), rows.collect()
+        for n in columns:
+            values = [float(r[n]) for r in have if r[n] is not None]
+            assert got.get(n) == (statistics.median(values) if values else None), (n, size)
+
+
+def test_only_values_near_the_median_meet_in_its_histogram(spark, monkeypatch):
+    from tidewatch.operators import order
+
+    sizes, plain = [], order.stored
+    monkeypatch.setattr(order, "stored", lambda df, name: (lambda out: sizes.append(out.count()) or out)(plain(df, name)))
+    rows = spark.range(20_000).selectExpr("id as tx_id", "double(hash(id)) as x", "double(hash(id, 1)) as y")
+    models.fit_isolation_forest(rows, ["x", "y"], trees=4)
+    assert sizes and max(sizes) < 1_000  # all values are 40,000
+
+
+def test_a_block_walks_trees_as_a_row_does():
+    import numpy as np
+    import pandas as pd
+
+    rng, names = np.random.default_rng(5), ["a", "b", "c"]
+    for size in (1, 2, 40, 256):
+        rows = pd.DataFrame(rng.normal(size=(size, 3)).round(1), columns=names).assign(tree=3, tx_id=range(size))
+        tree = models._grow(names, 7, 8)(rows)[["feature", "cut", "l", "r", "path"]].to_numpy(float)
+        x = rng.normal(size=(50, 3)).round(1)
+        x[4, 1] = np.nan
+        expected = []
+        for values in x:
+            at = 0
+            while tree[at, 0] >= 0:
+                at = int(tree[at, 2] if values[int(tree[at, 0])] <= tree[at, 1] else tree[at, 3])
+            expected.append(tree[at, 4])
+        assert models._depths([models._walked(tree)], x.T.ravel(), 50).tolist() == expected
