@@ -187,3 +187,14 @@ def test_a_block_walks_trees_as_a_row_does():
                 at = int(tree[at, 2] if values[int(tree[at, 0])] <= tree[at, 1] else tree[at, 3])
             expected.append(tree[at, 4])
         assert models._depths([models._walked(tree)], x.T.ravel(), 50).tolist() == expected
+
+
+def test_boosted_fits_read_prepared_rows_that_are_made_once(spark):
+    rows, counted, runs = _counted(spark)
+    part = "if(tx_id % 5 = 1, 'validation', segment) as segment"
+    matrix = counted.selectExpr("tx_id", part, "is_fraud", "a", "b", "e", "tx_id % 10 = 1 as calibration")
+    names = ["a", "b", "e"]
+    out = models.size_grid(matrix, names, [models.Boost(2, 2), models.Boost(3, 1), models.Boost(2, 1)]).collect()
+    assert [(r.iterations, r.depth) for r in out] == [("2", "2"), ("3", "1"), ("2", "1")]
+    # Counted, looked at for values, medians and weights, made, and scored once a fit; each fit alone makes them four times more.
+    assert runs.value <= 10 * rows.count()
